@@ -131,15 +131,20 @@ def sentiment_length_ok(sentiment: Column) -> Column:
 
 
 def opinion_candidates(
-    clauses: DataFrame, negation: str, adversative: str, id_order: str = "numeric"
+    clauses: DataFrame,
+    seeds: str,
+    negation: str,
+    adversative: str,
+    id_order: str = "numeric",
 ) -> DataFrame:
-    """Pairs whose feature has a valid length, with everything later stages need of the clause.
+    """Pairs that can become opinions, with everything later stages need of the clause.
 
-    The negating adverb and the adversative opening are read here, where the words are at
-    hand, so the mined pairs never have to be joined with the parses again.
+    Left out are pairs that are rejected for their word lengths whatever else is found; a
+    seed feature is kept with any sentiment, because the pair counts for the feature. The
+    negating adverb and the adversative opening are read here, where the words are at hand,
+    so the mined pairs never have to be joined with the parses again.
     """
     words = F.col("words")
-    adverbs = ordered_by_parent(negating_adverbs(words, negation))
 
     def candidate(p: Column, number: Column) -> Column:
         feature, sentiment = opinion_sides(p["first"], p["second"], p["relate"])
@@ -150,26 +155,29 @@ def opinion_candidates(
             p["relate"].alias("relate"),
         )
 
-    def with_negation(c: Column, adv: Column) -> Column:
+    def can_matter(c: Column) -> Column:
+        return feature_length_ok(c["feature"]) & (
+            sentiment_length_ok(c["sentiment"]) | c["feature"]["cont"].rlike(seeds)
+        )
+
+    def with_negation(c: Column, adverbs: Column) -> Column:
         return F.struct(
             c["pairNo"].alias("pairNo"),
             c["feature"].alias("feature"),
             c["sentiment"].alias("sentiment"),
             c["relate"].alias("relate"),
-            negating_adverb(c["feature"], c["sentiment"], adv, id_order).alias("neg_adv"),
+            negating_adverb(c["feature"], c["sentiment"], adverbs, id_order).alias("neg_adv"),
         )
 
+    candidates = F.filter(F.transform(pair_array(words), candidate), can_matter)
     rows = let(
-        adverbs,
-        lambda adv: F.transform(
-            F.filter(
-                F.transform(pair_array(words), candidate),
-                lambda c: feature_length_ok(c["feature"]),
-            ),
-            lambda c: with_negation(c, adv),
-        ),
+        ordered_by_parent(negating_adverbs(words, negation)),
+        lambda adverbs: F.transform(candidates, lambda c: with_negation(c, adverbs)),
     )
     return clauses.select(
-        "pId", "cId", "sId", opens_adversative(words, adversative).alias("adversative"),
+        "pId",
+        "cId",
+        "sId",
+        opens_adversative(words, adversative).alias("adversative"),
         F.explode(rows).alias("c"),
     ).select("pId", "cId", "sId", "adversative", "c.*")

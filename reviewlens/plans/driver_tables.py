@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlens import fixed_values as fixed
+from reviewlens.operators.lexicon import synonym_table
+from reviewlens.operators.pairs import sentiment_length_ok
+from reviewlens.plans.product_opinions import Rules
 
 SEEDS = "^(the|ch|au|das)"
 NEGATION = "un|no|de|th"
@@ -75,13 +78,15 @@ def _word(cont: Column, i: Column) -> Column:
         return F.get(F.array(*[F.lit(v) for v in values]), n)
 
     relate = pick(RELATIONS, i % 6)
+    coordinated = (
+        F.when(i % 24 == 4, i - 2).when(i % 24 == 10, i - 4).when(i % 24 == 16, i - 8).otherwise(i - 16)
+    )
     parent = (
         F.when(i % 6 == 0, i + 2)
         .when(i % 6 == 1, i + 1)
         .when(i % 6 == 2, F.lit(-1))
         .when(i % 6 == 3, i - 1)
-        .when(i % 12 == 4, i - 2)
-        .when(i % 6 == 4, i - 4)
+        .when(i % 6 == 4, coordinated)
         .otherwise(i - 3)
     )
     return F.struct(
@@ -94,16 +99,74 @@ def _word(cont: Column, i: Column) -> Column:
     )
 
 
+def _parsed(sentence: Column) -> Column:
+    """Words of a sentence: the runs of plain letters, lower-cased."""
+    return F.transform(F.split(F.trim(sentence), " +"), _word)
+
+
+def _letters() -> Column:
+    return F.lower(F.array_join(F.split("text", "[^A-Za-z .\n]+"), ""))
+
+
 def clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parsed clauses of all documents: words are the runs of plain letters, lower-cased."""
-    letters = F.lower(F.array_join(F.split("text", "[^A-Za-z .\n]+"), ""))
+    """Parsed clauses of all documents, one per row."""
     return (
-        _sentences(spark, sf_dir, letters)
+        _sentences(spark, sf_dir, _letters())
         .filter(F.col("content") != "")
-        .select("pId", "cId", "sId", F.transform(F.split("content", " +"), _word).alias("words"))
+        .select("pId", "cId", "sId", _parsed(F.col("content")).alias("words"))
+    )
+
+
+def comments_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same clauses, all those of a document in one row."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    sentences_ = F.filter(
+        F.transform(
+            F.split(_letters(), "[.\n]+"),
+            lambda s, i: F.struct(i.alias("sId"), F.trim(s).alias("content")),
+        ),
+        lambda s: s["content"] != "",
+    )
+    parsed = F.transform(
+        sentences_,
+        lambda s: F.struct(s["sId"].alias("sId"), _parsed(s["content"]).alias("sDpResult")),
+    )
+    return spread(documents, "doc_id").select(
+        product_of(F.col("source")).alias("pId"),
+        F.col("doc_id").alias("cId"),
+        parsed.alias("cDpResult"),
     )
 
 
+def rules() -> Rules:
+    return Rules(seeds=SEEDS, negation=NEGATION, adversative=ADVERSATIVE)
+
+
+def sentiment_vocabulary(candidates: DataFrame) -> DataFrame:
+    """Distinct sentiment words: one to three plain letters, so fewer than 20,000."""
+    valid = candidates.filter(sentiment_length_ok(F.col("sentiment")))
+    return valid.select(F.col("sentiment.cont").alias("word")).distinct()
+
+
+def lexicon(vocabulary: DataFrame) -> DataFrame:
+    word = F.col("word")
+    polarity = F.when(word.contains("a"), -1).when(word.contains("e"), 1)
+    return vocabulary.withColumn("polarity", polarity).filter("polarity is not null")
+
+
+def synonym_lines(vocabulary: DataFrame) -> DataFrame:
+    """A line per first letter: the key, then its words in alphabetical order."""
+    grp = F.substring("word", 1, 1)
+    words = F.array_join(F.sort_array(F.collect_list("word")), " ")
+    return vocabulary.groupBy(grp.alias("grp")).agg(
+        F.concat("grp", F.lit("= "), words).alias("value")
+    )
+
+
+def synonyms(vocabulary: DataFrame) -> DataFrame:
+    return synonym_table(synonym_lines(vocabulary))
+
+
 def raw_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Task results: one page of at most ten turns per row, failed when the conversation id ends in 7."""
     page = F.floor(F.col("turn") / fixed.PAGE_SIZE)
@@ -130,11 +193,22 @@ def raw_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = F.timestamp_seconds(F.lit(1704067200))
-    return table(spark, sf_dir, "pages").select(
+    """Every page once, and every third page fetched again seven hours later."""
+    pages = table(spark, sf_dir, "pages")
+    first = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    hours = F.make_dt_interval(F.lit(0), F.col("page_id"))
+    fetched = pages.select(
         "page_id",
         "url",
         "html",
         F.when(F.col("page_id") % 5 == 0, 503).otherwise(200).alias("code"),
-        F.timestamp_seconds(F.unix_timestamp(first) + F.col("page_id") * 3600).alias("fetched_at"),
+        (first + hours).alias("fetched_at"),
+    )
+    again = fetched.filter(F.col("page_id") % 3 == 0).withColumns(
+        {
+            "html": F.when(F.col("page_id") % 7 == 0, F.lit("")).otherwise(F.col("html")),
+            "code": F.lit(200),
+            "fetched_at": F.col("fetched_at") + F.expr("interval 7 hours"),
+        }
     )
+    return fetched.unionByName(again)
