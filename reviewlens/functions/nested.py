@@ -7,18 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_SHORT = 64
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once per row, also when used inside a lambda."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def ordered_by_parent(words: Column) -> Column:
-    """Words as (parent, i, word) entries, ordered by parent and then by place in the clause."""
-    entries = F.transform(
-        words,
-        lambda w, i: F.struct(w["parent"].alias("parent"), i.alias("i"), w.alias("word")),
-    )
+def ordered_by_parent(entries: Column) -> Column:
+    """Entries ``struct<parent, i, ...>`` ready for ``children``."""
     return let(
         F.sort_array(entries),
         lambda e: F.struct(
@@ -29,11 +27,8 @@ def ordered_by_parent(words: Column) -> Column:
     )
 
 
-_SHORT = 64
-
-
 def children(ordered: Column, parent: Column) -> Column:
-    """The entries with this parent, in the order of the clause.
+    """The entries with this parent, in the order of ``i``.
 
     A short list is filtered. A long one is cut at the first and last place of the parent,
     so a clause of thousands of words needs no lambda call for every pair of its words.

@@ -14,7 +14,7 @@ from reviewlens import fixed_values as fixed
 from reviewlens.functions.skew import join_counted_lookup
 from reviewlens.functions.text import Tokenizer, tokens_full
 from reviewlens.operators.comments import dense_ids
-from reviewlens.session import stage
+from reviewlens.session import new_folder, stage
 
 
 def rated_text(lines: DataFrame) -> DataFrame:
@@ -102,18 +102,25 @@ def split_60_40(data: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def fit(training: DataFrame, kind: str = "svm") -> PipelineModel:
-    """Hashed TF-IDF and a linear SVM or naive Bayes model."""
+    """Hashed TF-IDF and a linear SVM or naive Bayes model.
+
+    The model is kept in the shared folder and read back without its training history, which
+    holds the session and could not be sent to the executors.
+    """
     classifier = {
         "svm": lambda: LinearSVC(maxIter=100),
         "naive_bayes": lambda: NaiveBayes(smoothing=1.0),
     }[kind]()
-    return Pipeline(
+    pipeline = Pipeline(
         stages=[
             HashingTF(inputCol="tokens", outputCol="tf"),
             IDF(inputCol="tf", outputCol="features"),
             classifier,
         ]
-    ).fit(training)
+    )
+    path = new_folder(training.sparkSession, "model")
+    pipeline.fit(training).save(path)
+    return PipelineModel.load(path)
 
 
 def score(model: PipelineModel, tokens: DataFrame) -> DataFrame:

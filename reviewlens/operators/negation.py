@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlens import fixed_values as fixed
-from reviewlens.functions.nested import children, let, ordered_by_parent
+from reviewlens.functions.nested import let
 from reviewlens.functions.text import any_of, contains_any
 
 NEGATION = any_of(fixed.NEGATION_WORDS)
@@ -23,6 +23,7 @@ def opens_adversative(words: Column, pattern: str = ADVERSATIVE) -> Column:
 
 
 def negating_adverbs(words: Column, pattern: str = NEGATION) -> Column:
+    """The adverbs of a clause that negate, in order."""
     return F.filter(
         words, lambda w: (w["relate"] == fixed.ADVERBIAL) & contains_any(w["cont"], pattern)
     )
@@ -31,25 +32,20 @@ def negating_adverbs(words: Column, pattern: str = NEGATION) -> Column:
 def negating_adverb(
     feature: Column, sentiment: Column, adverbs: Column, id_order: str = "numeric"
 ) -> Column:
-    """The last adverb of the sentiment between feature and sentiment, null when their number
-    is even (D4, D5). ``adverbs`` comes from ``ordered_by_parent``. With ``id_order="lexical"``
-    word ids are compared as strings.
+    """The last of the sentiment's ``adverbs`` between feature and sentiment, null when their
+    number is even (D4, D5). With ``id_order="lexical"`` word ids are compared as strings.
     """
     kind = {"numeric": "int", "lexical": "string"}[id_order]
-
-    def order(word_id: Column) -> Column:
-        return word_id.cast(kind)
-
+    after, before = feature["id"].cast(kind), sentiment["id"].cast(kind)
     between = F.filter(
-        children(adverbs, sentiment["id"]),
-        lambda m: (order(m["word"]["id"]) > order(feature["id"]))
-        & (order(m["word"]["id"]) < order(sentiment["id"])),
+        adverbs,
+        lambda w: (w["parent"] == sentiment["id"])
+        & (w["id"].cast(kind) > after)
+        & (w["id"].cast(kind) < before),
     )
     return let(
         between,
-        lambda hits: F.when(
-            F.size(hits) % 2 == 1, F.try_element_at(hits, F.lit(-1))["word"]
-        ),
+        lambda hits: F.when(F.size(hits) % 2 == 1, F.try_element_at(hits, F.lit(-1))),
     )
 
 
@@ -65,15 +61,20 @@ def with_clause_context(
     One join on the clause key for all comments. An opinion without its clause is left out;
     ``opinions_without_clause`` counts those.
     """
-    neg_adv = let(
-        ordered_by_parent(negating_adverbs(F.col("words"), negation)),
-        lambda adv: negating_adverb(F.col("feature"), F.col("sentiment"), adv, id_order),
+    neg_adv = negating_adverb(
+        F.col("feature"), F.col("sentiment"), F.col("adverbs"), id_order
+    )
+    context = clauses.select(
+        "pId",
+        "cId",
+        "sId",
+        negating_adverbs(F.col("words"), negation).alias("adverbs"),
+        opens_adversative(F.col("words"), adversative).alias("adversative"),
     )
     return (
-        opinions.join(clauses, ["pId", "cId", "sId"])
+        opinions.join(context, ["pId", "cId", "sId"])
         .withColumn("neg_adv", neg_adv)
-        .withColumn("adversative", opens_adversative(F.col("words"), adversative))
-        .drop("words")
+        .drop("adverbs")
     )
 
 

@@ -1,7 +1,8 @@
 """Word pairs of a parsed clause.
 
 A clause is one row holding its words as an array, so pairs come out of a projection and no
-word is ever shuffled.
+word is ever shuffled. Array functions only work out the places of the two words; the words
+themselves are fetched after the pairs have become rows.
 """
 
 from __future__ import annotations
@@ -15,88 +16,143 @@ from reviewlens.functions.text import length_between
 from reviewlens.operators.negation import negating_adverb, negating_adverbs, opens_adversative
 
 PAIR_KEY = ["pId", "cId", "sId", "pairNo"]
+_BASE, _SIDE, _CROSS = 0, 1, 2
+_DEPENDENT, _HEAD = 0, 1
 
 
-def head_of(word: Column, words: Column, ids: Column) -> Column:
-    """The first word whose id is the word's parent, or null."""
-    return F.get(words, (F.array_position(ids, word["parent"]) - 1).cast("int"))
+def head_place(parent: Column, ids: Column) -> Column:
+    """Place of the first word with this id, null when there is none."""
+    return F.nullif(F.array_position(ids, parent), F.lit(0)).cast("int") - 1
 
 
-def _pairs_of_word(w: Column, words: Column, ids: Column, coordinated: Column) -> Column:
-    def all_pairs(found: Column) -> Column:
-        head, beside_w, beside_head = found["head"], found["beside_w"], found["beside_head"]
+def _places_of_word(w: Column, ids: Column, coordinated: Column) -> Column:
+    """Pairs of one word: with its head, with words coordinated to either, and the last two.
 
-        def pair(dependent: Column, head: Column, kind: str) -> Column:
-            return F.struct(
-                F.when(found["dependent_first"], dependent).otherwise(head).alias("first"),
-                F.when(found["dependent_first"], head).otherwise(dependent).alias("second"),
-                w["relate"].alias("relate"),
-                F.lit(kind).alias("kind"),
-            )
-
-        def placed(m: Column, side: int, value: Column) -> Column:
-            return F.struct(m["i"].alias("i"), F.lit(side).alias("side"), value.alias("pair"))
+    Attribute and subject come before their head, the other dependents after it.
+    """
 
-        base = F.array(pair(w, head, "base"))
-        sides = F.sort_array(
-            F.concat(
-                F.transform(beside_w, lambda m: placed(m, 0, pair(m["word"], head, "dependent"))),
-                F.transform(beside_head, lambda m: placed(m, 1, pair(w, m["word"], "head"))),
-            )
+    def place(step: int, i: Column, side: int, dependent: Column, head: Column) -> Column:
+        return F.struct(
+            F.lit(step).alias("step"),
+            i.alias("i"),
+            F.lit(side).alias("side"),
+            w["relate"].alias("relate"),
+            F.when(w["dependent_first"], dependent).otherwise(head).alias("first"),
+            F.when(w["dependent_first"], head).otherwise(dependent).alias("second"),
         )
-        last_pair = pair(
-            F.try_element_at(beside_w, F.lit(-1))["word"],
-            F.try_element_at(beside_head, F.lit(-1))["word"],
-            "cross",
+
+    def all_places(found: Column) -> Column:
+        beside_w, beside_head, head = found["beside_w"], found["beside_head"], found["head"]
+        base = F.array(place(_BASE, w["i"], 0, w["i"], head))
+        cross = place(
+            _CROSS,
+            w["i"],
+            0,
+            F.try_element_at(beside_w, F.lit(-1))["i"],
+            F.try_element_at(beside_head, F.lit(-1))["i"],
         )
         alone = (F.size(beside_w) == 0) & (F.size(beside_head) == 0)
         return F.when(alone, base).otherwise(
-            F.concat(base, sides.getField("pair"), F.array(last_pair))
+            F.sort_array(
+                F.concat(
+                    base,
+                    F.transform(beside_w, lambda m: place(_SIDE, m["i"], _DEPENDENT, m["i"], head)),
+                    F.transform(beside_head, lambda m: place(_SIDE, m["i"], _HEAD, w["i"], m["i"])),
+                    F.array(cross),
+                )
+            )
         )
 
     found = F.struct(
-        w["relate"].isin(fixed.DEPENDENT_FIRST).alias("dependent_first"),
-        head_of(w, words, ids).alias("head"),
         children(coordinated, w["id"]).alias("beside_w"),
         children(coordinated, w["parent"]).alias("beside_head"),
+        head_place(w["parent"], ids).alias("head"),
     )
-    return let(found, all_pairs)
-
-
-def pair_array(words: Column) -> Column:
-    """All pairs of one clause in order; a pair that lacks a side is left out."""
-    qualifying = F.filter(words, lambda w: w["relate"].isin(fixed.PAIR_RELATIONS))
-    coordinated = ordered_by_parent(F.filter(words, lambda w: w["relate"] == fixed.COORDINATION))
-    pairs = let(
-        words.getField("id"),
-        lambda ids: let(
-            coordinated,
-            lambda coo: F.flatten(
-                F.transform(qualifying, lambda w: _pairs_of_word(w, words, ids, coo))
+    return let(found, all_places)
+
+
+def pair_places(words: Column) -> Column:
+    """The pairs of one clause in order, as places; a pair that lacks a side is left out."""
+
+    def entry(w: Column, i: Column) -> Column:
+        return F.struct(
+            w["parent"].alias("parent"),
+            i.alias("i"),
+            w["id"].alias("id"),
+            w["relate"].alias("relate"),
+            w["relate"].isin(fixed.DEPENDENT_FIRST).alias("dependent_first"),
+        )
+
+    def places(entries: Column) -> Column:
+        qualifying = F.filter(entries, lambda w: w["relate"].isin(fixed.PAIR_RELATIONS))
+        coordinated = F.filter(entries, lambda w: w["relate"] == fixed.COORDINATION)
+        context = F.struct(
+            entries.getField("id").alias("ids"), ordered_by_parent(coordinated).alias("coo")
+        )
+        return let(
+            context,
+            lambda c: F.flatten(
+                F.transform(qualifying, lambda w: _places_of_word(w, c["ids"], c["coo"]))
             ),
-        ),
+        )
+
+    return F.filter(
+        let(F.transform(words, entry), places),
+        lambda p: p["first"].isNotNull() & p["second"].isNotNull(),
+    )
+
+
+def _kind(place: Column) -> Column:
+    return (
+        F.when(place["step"] == _BASE, "base")
+        .when(place["step"] == _CROSS, "cross")
+        .when(place["side"] == _DEPENDENT, "dependent")
+        .otherwise("head")
     )
-    return F.filter(pairs, lambda p: p["first"].isNotNull() & p["second"].isNotNull())
 
 
 def comment_pairs(comments_dp: DataFrame) -> DataFrame:
     """Nested form: every clause of every comment with its pairs, also when it has none."""
 
     def clause(s: Column) -> Column:
-        pairs = F.transform(
-            pair_array(s["sDpResult"]),
-            lambda p: F.struct(p["first"], p["second"], p["relate"].alias("wRelate")),
-        )
+        def pair(place: Column) -> Column:
+            return F.struct(
+                F.get(s["sDpResult"], place["first"]).alias("first"),
+                F.get(s["sDpResult"], place["second"]).alias("second"),
+                place["relate"].alias("wRelate"),
+            )
+
+        pairs = F.transform(pair_places(s["sDpResult"]), pair)
         return F.struct(s["sId"].alias("sId"), pairs.alias("sDpPairs"))
 
     return comments_dp.select("pId", "cId", F.transform("cDpResult", clause).alias("cDpPairs"))
 
 
+def _pair_rows(clauses: DataFrame, *carried: Column) -> DataFrame:
+    """One row per pair: its key, its place, the words of the clause and columns of the clause.
+
+    The outer form of the generator keeps the planner from adding a filter on the number of
+    pairs, which it would push down to where the pairs are worked out and so do that twice.
+    """
+    places = pair_places(F.col("words")).alias("places")
+    return (
+        clauses.select(*PAIR_KEY[:3], "words", places, *carried)
+        .select("*", F.posexplode_outer("places").alias("pairNo", "place"))
+        .drop("places")
+        .filter(F.col("place").isNotNull())
+    )
+
+
 def dependency_pairs(clauses: DataFrame) -> DataFrame:
     """Flat form: one row per pair, numbered within its clause."""
-    return clauses.select(
-        "pId", "cId", "sId", F.posexplode(pair_array(F.col("words"))).alias("pairNo", "p")
-    ).select(*PAIR_KEY, "p.*")
+    words, place = F.col("words"), F.col("place")
+    return _pair_rows(clauses).select(
+        *PAIR_KEY,
+        F.get(words, place["first"]).alias("first"),
+        F.get(words, place["second"]).alias("second"),
+        "place.relate",
+        _kind(place).alias("kind"),
+    )
 
 
 def flat_pairs(comment_pairs_df: DataFrame) -> DataFrame:
@@ -144,40 +200,32 @@ def opinion_candidates(
     negating adverb and the adversative opening are read here, where the words are at hand,
     so the mined pairs never have to be joined with the parses again.
     """
-    words = F.col("words")
-
-    def candidate(p: Column, number: Column) -> Column:
-        feature, sentiment = opinion_sides(p["first"], p["second"], p["relate"])
-        return F.struct(
-            number.alias("pairNo"),
+    words, place = F.col("words"), F.col("place")
+    feature_place, sentiment_place = opinion_sides(
+        place["first"], place["second"], place["relate"]
+    )
+    feature, sentiment = F.get(words, feature_place), F.get(words, sentiment_place)
+    can_matter = feature_length_ok(feature) & (
+        sentiment_length_ok(sentiment) | feature["cont"].rlike(seeds)
+    )
+    pairs = _pair_rows(
+        clauses,
+        opens_adversative(words, adversative).alias("adversative"),
+        negating_adverbs(words, negation).alias("adverbs"),
+    )
+    return (
+        pairs.filter(can_matter)
+        .select(
+            *PAIR_KEY,
+            "adversative",
+            "adverbs",
             feature.alias("feature"),
             sentiment.alias("sentiment"),
-            p["relate"].alias("relate"),
+            "place.relate",
         )
-
-    def can_matter(c: Column) -> Column:
-        return feature_length_ok(c["feature"]) & (
-            sentiment_length_ok(c["sentiment"]) | c["feature"]["cont"].rlike(seeds)
+        .withColumn(
+            "neg_adv",
+            negating_adverb(F.col("feature"), F.col("sentiment"), F.col("adverbs"), id_order),
         )
-
-    def with_negation(c: Column, adverbs: Column) -> Column:
-        return F.struct(
-            c["pairNo"].alias("pairNo"),
-            c["feature"].alias("feature"),
-            c["sentiment"].alias("sentiment"),
-            c["relate"].alias("relate"),
-            negating_adverb(c["feature"], c["sentiment"], adverbs, id_order).alias("neg_adv"),
-        )
-
-    candidates = F.filter(F.transform(pair_array(words), candidate), can_matter)
-    rows = let(
-        ordered_by_parent(negating_adverbs(words, negation)),
-        lambda adverbs: F.transform(candidates, lambda c: with_negation(c, adverbs)),
+        .drop("adverbs")
     )
-    return clauses.select(
-        "pId",
-        "cId",
-        "sId",
-        opens_adversative(words, adversative).alias("adversative"),
-        F.explode(rows).alias("c"),
-    ).select("pId", "cId", "sId", "adversative", "c.*")

@@ -392,8 +392,8 @@ _FINAL = {
     "stop_words": "SELECT word, n FROM stops",
     "stopword_filter": """
         SELECT cId, CAST(len(kept) AS INTEGER) AS n, coalesce(array_to_string(kept, ' '), '') AS kept FROM (
-          SELECT cid AS cId, list_filter(tokens, lambda x: NOT list_contains((SELECT list(word) FROM stops), x)) AS kept
-          FROM tokens)""",
+          SELECT cid AS cId, list_filter(tokens, lambda x: NOT list_contains(words, x)) AS kept
+          FROM tokens, (SELECT list(word) AS words FROM stops))""",
     "balanced_sample": """
         SELECT rating, 0 AS label, md5(text) AS hash FROM rated_text WHERE rating < 4
         UNION ALL

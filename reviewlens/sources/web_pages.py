@@ -128,7 +128,7 @@ def html_comments(pages: DataFrame, html: str) -> DataFrame:
         .filter(F.col("pos") > 0)
         .select(
             *keys,
-            "pos",
+            (F.col("pos") - 1).alias("pos"),
             F.trim(votes).try_cast("int").alias("votes"),
             F.coalesce(
                 F.substring(F.split(marks, " ")[0], -2, 1).try_cast("int"), F.lit(0)
