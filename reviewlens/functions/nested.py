@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SHORT = 64
@@ -50,3 +50,12 @@ def children(ordered: Column, parent: Column) -> Column:
     return F.when(
         F.size(entries) <= _SHORT, F.filter(entries, lambda e: e["parent"] == parent)
     ).otherwise(let(ends, run))
+
+
+def rows_of(df: DataFrame, array: str, name: str, *keep: str) -> DataFrame:
+    """One row per element of an array column that was costly to work out.
+
+    The outer form of the generator keeps the planner from adding a filter on the size of
+    the array, which it would push down to where the array is made and so make it twice.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())

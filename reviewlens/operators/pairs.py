@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlens import fixed_values as fixed
-from reviewlens.functions.nested import children, let, ordered_by_parent
+from reviewlens.functions.nested import children, let, ordered_by_parent, rows_of
 from reviewlens.functions.text import length_between
 from reviewlens.operators.negation import negating_adverb, negating_adverbs, opens_adversative
 
@@ -129,11 +129,7 @@ def comment_pairs(comments_dp: DataFrame) -> DataFrame:
 
 
 def _pair_rows(clauses: DataFrame, *carried: Column) -> DataFrame:
-    """One row per pair: its key, its place, the words of the clause and columns of the clause.
-
-    The outer form of the generator keeps the planner from adding a filter on the number of
-    pairs, which it would push down to where the pairs are worked out and so do that twice.
-    """
+    """One row per pair: its key, its place, the words of the clause and columns of the clause."""
     places = pair_places(F.col("words")).alias("places")
     return (
         clauses.select(*PAIR_KEY[:3], "words", places, *carried)
@@ -158,7 +154,7 @@ def dependency_pairs(clauses: DataFrame) -> DataFrame:
 def flat_pairs(comment_pairs_df: DataFrame) -> DataFrame:
     """The nested form as rows."""
     return (
-        comment_pairs_df.select("pId", "cId", F.explode("cDpPairs").alias("s"))
+        rows_of(comment_pairs_df, "cDpPairs", "s", "pId", "cId")
         .select("pId", "cId", "s.sId", F.posexplode("s.sDpPairs").alias("pairNo", "p"))
         .select(*PAIR_KEY, "p.first", "p.second", F.col("p.wRelate").alias("relate"))
     )

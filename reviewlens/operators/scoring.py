@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewlens.functions.nested import rows_of
+
 
 def word_polarity(lexicon: DataFrame, synonyms: DataFrame) -> DataFrame:
     """Polarity of every word that has one.
@@ -83,7 +85,7 @@ def nest_degrees(degrees: DataFrame) -> DataFrame:
 def flat_degrees(nested: DataFrame) -> DataFrame:
     """The nested form as rows."""
     return (
-        nested.select("pId", "cId", F.explode("cDegrees").alias("s"))
+        rows_of(nested, "cDegrees", "s", "pId", "cId")
         .select("pId", "cId", "s.sId", F.inline("s.sDegrees"))
         .withColumnsRenamed({"negAdv": "neg_adv", "degValue": "deg_value"})
     )
