@@ -7,7 +7,7 @@ themselves, and the label of every word pair is joined back once at the end.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlens import fixed_values as fixed
@@ -53,10 +53,10 @@ class _Reached:
         self._spark = spark
         self._path = new_folder(spark, name)
 
-    def add(self, words: DataFrame, t: int) -> int:
-        seen = Observation()
-        words.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{self._path}/t={t}")
-        return seen.get["n"]
+    def add(self, words: DataFrame, t: int) -> bool:
+        """Keep the words found at step ``t``; false when there are none."""
+        words.write.parquet(f"{self._path}/t={t}")
+        return not self.at(t).isEmpty()
 
     def table(self) -> DataFrame:
         return self._spark.read.schema(_REACHED).parquet(self._path)

@@ -34,6 +34,7 @@ def balanced(rated: DataFrame) -> DataFrame:
     Which positives are taken is fixed by the hash of the text.
     """
     rating = F.col("rating")
+    rated = stage(rated, "rated")
     negative = rated.filter(rating < fixed.NEGATIVE_BELOW)
     wanted = negative.count()
     positive = dense_ids(
@@ -108,7 +109,7 @@ def fit(training: DataFrame, kind: str = "svm") -> PipelineModel:
     holds the session and could not be sent to the executors.
     """
     classifier = {
-        "svm": lambda: LinearSVC(maxIter=100),
+        "svm": lambda: LinearSVC(maxIter=100, regParam=0.01),
         "naive_bayes": lambda: NaiveBayes(smoothing=1.0),
     }[kind]()
     pipeline = Pipeline(

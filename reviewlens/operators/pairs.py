@@ -85,7 +85,10 @@ def pair_places(words: Column) -> Column:
 
     def places(entries: Column) -> Column:
         qualifying = F.filter(entries, lambda w: w["relate"].isin(fixed.PAIR_RELATIONS))
-        coordinated = F.filter(entries, lambda w: w["relate"] == fixed.COORDINATION)
+        coordinated = F.transform(
+            F.filter(entries, lambda w: w["relate"] == fixed.COORDINATION),
+            lambda w: F.struct(w["parent"].alias("parent"), w["i"].alias("i")),
+        )
         context = F.struct(
             entries.getField("id").alias("ids"), ordered_by_parent(coordinated).alias("coo")
         )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlens import fixed_values as fixed
+from reviewlens.session import stage
 
 TAG = ["pId", "tFeature", "tSentiment", "tRate", "tIsPos", "tCount", "tCommentCount"]
 
@@ -75,6 +76,7 @@ def tag_comments(degrees: DataFrame, features: DataFrame) -> DataFrame:
 
 def hot_tags(tags: DataFrame, limit: int = fixed.HOT_TAGS) -> DataFrame:
     """Tags counted more often than the mean of their side, the best ``limit`` of each."""
+    tags = stage(tags, "tags")
     side = ["pId", "tIsPos"]
     means = tags.groupBy(*side).agg(F.avg("tCount").alias("mean"))
     order = Window.partitionBy(*side).orderBy(

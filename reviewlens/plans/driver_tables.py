@@ -29,6 +29,16 @@ def product_of(source: Column) -> Column:
     return F.substring(source, 4, 20).cast("long")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows of a scanned table dealt out to all cores when it has fewer splits than cores.
+
+    A small file is one row group, read by one task. A large table has far more splits than
+    the cluster has cores and is left as it is, so no text is shuffled there.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rated comments: documents that have a label."""
     rating = (
@@ -37,7 +47,7 @@ def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(1)
     )
     documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return documents.join(table(spark, sf_dir, "labels"), "doc_id").select(
+    return spread(documents, "doc_id").join(table(spark, sf_dir, "labels"), "doc_id").select(
         product_of(F.col("source")).alias("pId"),
         F.col("doc_id").alias("cId"),
         F.col("text").alias("content"),
@@ -45,16 +55,6 @@ def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows dealt out to all cores when the input has fewer splits than there are cores.
-
-    A small file is one row group, read by one task. A large table has far more splits than
-    the cluster has cores and is left as it is, so no text is shuffled there.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def _sentences(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return (

@@ -147,13 +147,9 @@ def task_parses(spark: SparkSession, sf: str) -> DataFrame:
 
 def json_first_sentence(spark: SparkSession, sf: str) -> DataFrame:
     words = F.transform("cDpResult", lambda s: s["sDpResult"])
-    answer = F.to_json(F.array(words))
-    return (
-        tables.comments_dp(spark, sf)
-        .select("cId", parses.json_first_sentence(answer).alias("words"))
-        .filter(F.col("words").isNotNull())
-        .select("cId", F.array_join(F.col("words").getField("cont"), " ").alias("text"))
-    )
+    answers = tables.comments_dp(spark, sf).select("cId", F.to_json(F.array(words)).alias("answer"))
+    first = parses.json_first_sentence(F.col("answer"))
+    return answers.select("cId", F.array_join(first.getField("cont"), " ").alias("text"))
 
 
 def html_fields(spark: SparkSession, sf: str) -> DataFrame:
@@ -288,10 +284,11 @@ def _mined(spark: SparkSession, sf: str) -> opinions.Mined:
 
 
 def bootstrap_labels(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = stage(
-        word_pairs.with_sides(_pairs(spark, sf)).select(*KEY, "feature", "sentiment", "relate"),
-        "pairs",
-    )
+    def word(side: str) -> Column:
+        return F.struct(f"{side}.cont", f"{side}.pos").alias(side)
+
+    sides = word_pairs.with_sides(_pairs(spark, sf))
+    pairs = stage(sides.select(*KEY, word("feature"), word("sentiment"), "relate"), "pairs")
     labelled = bootstrap.bootstrap(pairs, tables.SEEDS)
     return _opinion(bootstrap.label_pairs(pairs, labelled), "label")
 
@@ -364,11 +361,14 @@ def clean_lexicon(spark: SparkSession, sf: str) -> DataFrame:
     plain = "".join(chr(ord("a") + i) for i in range(26))
     cjk = "".join(chr(0x4E00 + i) for i in range(26))
 
-    def lines(name: str) -> DataFrame:
+    def lines(df: DataFrame) -> DataFrame:
         written = F.translate(F.lower(F.col("text")), plain, cjk)
-        return tables.table(spark, sf, name).select(F.explode(F.split(written, "[ \n]")).alias("value"))
+        return df.select(F.explode(F.split(written, "[ \n]")).alias("value"))
 
-    return lexicon.build_word_list([lines("documents")], [lines("benchmark")])
+    documents = tables.table(spark, sf, "documents").select("doc_id", "text")
+    return lexicon.build_word_list(
+        [lines(tables.spread(documents, "doc_id"))], [lines(tables.table(spark, sf, "benchmark"))]
+    )
 
 
 def _dictionaries(mined: opinions.Mined) -> tuple[DataFrame, DataFrame]:
@@ -480,7 +480,7 @@ def _rated(spark: SparkSession, sf: str) -> DataFrame:
 
 def _tokens(spark: SparkSession, sf: str) -> DataFrame:
     rated = tables.comments(spark, sf).select("cId", F.col("content").alias("text"))
-    return classify.tokenized(tables.spread(rated, "cId"))
+    return classify.tokenized(rated)
 
 
 def word_count(spark: SparkSession, sf: str) -> DataFrame:
