@@ -26,8 +26,10 @@ def join_counted_lookup(
     total = lookup.agg(F.sum(rows)).first()[0] or 0
     is_hot = F.col(rows) * MAX_HOT_KEYS > total
     hot = lookup.filter(is_hot).select(*keys, F.col(value).alias("_hot"))
+    # always 0, but not a literal: the planner would take a literal out of the join keys
+    zero = F.least(F.col(rows), F.lit(0)).cast("long")
     cold = lookup.filter(~is_hot).select(
-        *keys, F.lit(0).cast("long").alias("_spread"), F.col(value).alias("_cold")
+        *keys, zero.alias("_spread"), F.col(value).alias("_cold")
     )
     placed = facts.join(F.broadcast(hot), keys, "left").withColumn(
         "_spread",

@@ -29,3 +29,20 @@ def test_empty_lookup(spark):
     assert join_counted_lookup(
         facts, lookup, ["key"], "value", "rows", [F.col("id")]
     ).first()["value"] is None
+
+
+def test_hot_rows_are_spread_by_the_shuffle(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        facts = spark.range(9000).select(
+            "id", F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("key")
+        )
+        lookup = facts.groupBy("key").agg(F.count("*").alias("rows")).withColumn("value", F.length("key"))
+        joined = join_counted_lookup(facts, lookup, ["key"], "value", "rows", [F.col("id")])
+        hot = joined.filter("key = 'hot'").groupBy(F.spark_partition_id()).count().collect()
+        assert len(hot) == 4 and max(r["count"] for r in hot) < 1500
+        assert joined.filter("value is null").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
