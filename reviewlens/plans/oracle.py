@@ -319,7 +319,9 @@ _FINAL = {
                  lambda p: regexp_matches(p, '^[^=]*=.') AND NOT starts_with(p, 'page=')), 'page=' || page_id), '&')
                || regexp_extract(url, '(#.+)$', 1) AS url
         FROM pages""",
-    "latest_pages": "SELECT url, page_id, code, CAST(length(html) AS INTEGER) AS n_chars, fetched_at FROM latest",
+    "latest_pages": """
+        SELECT url, page_id, code, CAST(length(html) AS INTEGER) AS n_chars,
+               strftime(fetched_at, '%Y-%m-%d %H:%M:%S') AS fetched_at FROM latest""",
     "cached_pages": "SELECT page_id, url FROM pages WHERE url IN (SELECT url FROM latest)",
     "fetch_plan": """
         SELECT * FROM (

@@ -204,7 +204,8 @@ def _now() -> Column:
 
 def latest_pages(spark: SparkSession, sf: str) -> DataFrame:
     latest = web_pages.latest_pages(tables.page_cache(spark, sf), _now())
-    return latest.select("url", "page_id", "code", F.length("html").alias("n_chars"), "fetched_at")
+    fetched_at = F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss").alias("fetched_at")
+    return latest.select("url", "page_id", "code", F.length("html").alias("n_chars"), fetched_at)
 
 
 def cached_pages(spark: SparkSession, sf: str) -> DataFrame:
