@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own_folders: list[tempfile.TemporaryDirectory] = []
-
 
 def build_session(app_name: str = "reviewlens", **settings: str) -> SparkSession:
     """A session with the settings the jobs are planned for; a cluster's own settings win."""
@@ -25,15 +22,13 @@ def build_session(app_name: str = "reviewlens", **settings: str) -> SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, named by ``spark.checkpoint.dir``."""
+    """The folder every executor can reach: ``spark.checkpoint.dir``, else the checkpoint
+    folder of the context, else one below the warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-    if not _own_folders:
-        _own_folders.append(tempfile.TemporaryDirectory(prefix="reviewlens-"))
-    return _own_folders[0].name
+    if not folder:
+        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = found.get() if found.isDefined() else None
+    return folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/stages"
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -51,3 +46,9 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a staged table that nothing will read again."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
