@@ -92,7 +92,9 @@ def votes(docs: DataFrame, made: DataFrame, ks: list[int], text: str = "text") -
     read = _read(docs, text)
     grams = let(
         F.transform("words", folded_hash),
-        lambda h: F.array(*[F.struct(F.lit(k).alias("k"), gram_hashes(h, k).alias("hs")) for k in ks]),
+        lambda h: F.array(
+            *[F.struct(F.lit(k).alias("k"), gram_hashes(h, k).alias("hs")) for k in ks]
+        ),
     )
     places = read.select("*", F.explode_outer(grams).alias("g")).select(
         "doc_id", "text_key", "words", F.col("g.k").alias("k"), F.posexplode_outer("g.hs").alias("at", "h")
@@ -137,11 +139,15 @@ def votes(docs: DataFrame, made: DataFrame, ks: list[int], text: str = "text") -
     )
 
 
+def _grams_of(hashes: Column, k: int) -> Column:
+    return let(hashes, lambda h: gram_hashes(h, k))
+
+
 def _template_grams(ks: list[int]) -> Column:
     hashes = F.transform("words", folded_hash)
     out = None
     for k in ks:
-        grams = let(hashes, lambda h, k=k: gram_hashes(h, k))
+        grams = _grams_of(hashes, k)
         out = F.when(F.col("k") == k, grams) if out is None else out.when(F.col("k") == k, grams)
     return out
 

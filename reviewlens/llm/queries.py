@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlens.llm import decontaminate, licenses, pii, quality_rules
+from reviewlens.llm import decontaminate, licenses, packing, pii, quality_rules, token_files
 from reviewlens.llm.native import table
 from reviewlens.session import stage
 
@@ -59,9 +59,20 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_files.read(spark, token_files.write(docs))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
+    "op5_packing": op5_packing,
     "op6_decontaminate": op6_decontaminate,
+    "op7_token_files": op7_token_files,
     "op9_quality_rules": op9_quality_rules,
     "op10_license_scan": op10_license_scan,
 }
