@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlens.llm import decontaminate, licenses, packing, pii, quality_rules, token_files
+from reviewlens.llm import (
+    decontaminate,
+    jaccard_join,
+    licenses,
+    packing,
+    pii,
+    quality_rules,
+    token_files,
+)
 from reviewlens.llm.native import table
 from reviewlens.session import stage
 
@@ -68,11 +76,16 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, token_files.write(docs))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op5_packing": op5_packing,
     "op6_decontaminate": op6_decontaminate,
     "op7_token_files": op7_token_files,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_quality_rules": op9_quality_rules,
     "op10_license_scan": op10_license_scan,
 }
