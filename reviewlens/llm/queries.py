@@ -11,8 +11,11 @@ from reviewlens.llm import (
     licenses,
     packing,
     pii,
+    quality_model,
     quality_rules,
+    suffix_tree,
     token_files,
+    toxicity,
 )
 from reviewlens.llm.native import table
 from reviewlens.session import stage
@@ -80,8 +83,29 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.score_documents(
+        table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    )
+    return found.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_model.score_documents(
+        table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    )
+    return found.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+def op4_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_toxicity": op2_toxicity,
+    "op3_quality_model": op3_quality_model,
+    "op4_suffix_tree": op4_suffix_tree,
     "op5_packing": op5_packing,
     "op6_decontaminate": op6_decontaminate,
     "op7_token_files": op7_token_files,
