@@ -19,6 +19,7 @@ any); repeated rows are scored each.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,18 +31,24 @@ from pyspark.sql import functions as F
 from reviewlens.session import stage
 
 WINDOW = 24
+_SPELLED = re.compile(rb"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
 _ENDS = b".,;:!?\"'()[]{}<>*#$%&|_-=+/\\~`^"
 
 
 @dataclass(frozen=True)
 class Settings:
-    order: int = 3
-    decay: float = 0.6
+    order: int = 4
+    decay: float = 0.7
+    #: The kernel is raised to this power, which keeps it one and sharpens it.
+    power: int = 2
     landmarks: int = 32
     #: Bounds of the samples: labelled documents read, and documents of a class fitted on.
     sample_documents: int = 20_000
     bag_documents: int = 400
     rounds: int = 3
+    #: Words near a landmark that are learned from, for each class, the commonest first.
+    near_words: int = 4000
+    near: float = 0.8
     cache_words: int = 600_000
 
 
@@ -49,70 +56,68 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def units(sentence: bytes) -> set[bytes]:
-    """Words of a sentence, A-Z lowered, without signs at their ends."""
-    out: set[bytes] = set()
-    letters: list[bytes] = []
-    for word in sentence.lower().split():
-        bare = word.strip(_ENDS)
-        if len(bare) == 1:
-            letters.append(bare)
-            continue
-        if len(letters) > 2:
-            out |= _windows(b"".join(letters))
-        letters.clear()
-        if len(bare) <= WINDOW:
-            out.add(bare)
-        else:
-            out |= _windows(bare)
-    if len(letters) > 2:
-        out |= _windows(b"".join(letters))
-    out.discard(b"")
+def raw_units(text: bytes) -> set[bytes]:
+    """Words of a text, A-Z lowered, and its runs of three or more single characters, joined."""
+    lowered = text.lower()
+    out = set(lowered.split())
+    for run in _SPELLED.findall(lowered):
+        out.add(b"".join(run.split()))
     return out
 
 
-def _windows(word: bytes) -> set[bytes]:
-    return {word[at : at + WINDOW] for at in range(0, max(len(word) - WINDOW // 2, 1), WINDOW // 2)}
+def units(word: bytes) -> list[bytes]:
+    """What is compared of a word: itself without signs at its ends, in windows when long."""
+    bare = word.strip(_ENDS)
+    half = WINDOW // 2
+    return [bare[at : at + WINDOW] for at in range(0, max(len(bare) - half, 1), half)]
 
 
 def kernel(words: list[bytes], others: list[bytes], order: int, decay: float) -> np.ndarray:
-    """Gap-weighted subsequence kernel of all ``words`` with all ``others``, by dynamic
-    programming over both strings, for words of one length at a time."""
+    """Gap-weighted subsequence kernel of all ``words`` with all ``others``, for words of one
+    length at a time. Divided by the value of ``others`` with themselves, so a word that holds
+    the other string unbroken gets 1 or a little more."""
     out = np.zeros((len(words), len(others)), np.float32)
+    texts = [w.decode("utf-8", "replace") for w in words]
     by_length: dict[int, list[int]] = {}
-    for k, w in enumerate(words):
+    for k, w in enumerate(texts):
         by_length.setdefault(len(w), []).append(k)
-    for j, other in enumerate(others):
-        t = np.frombuffer(other, np.uint8)
-        for n, at in by_length.items():
-            if n < order or len(t) < order:
-                continue
-            for low in range(0, len(at), 20_000):
-                chosen = at[low : low + 20_000]
-                s = np.frombuffer(b"".join([words[k] for k in chosen]), np.uint8).reshape(len(chosen), n)
-                out[chosen, j] = _kernel_column(s, t, order, decay)
+    targets = [_codes(other.decode("utf-8", "replace")) for other in others]
+    own = [_kernel_column(t[:, None].copy(), t, order, decay)[0] if len(t) >= order else 1.0 for t in targets]
+    for n, at in by_length.items():
+        if n < order:
+            continue
+        for low in range(0, len(at), 2048):
+            chosen = at[low : low + 2048]
+            s = _codes("".join([texts[k] for k in chosen])).reshape(len(chosen), n)
+            s = np.ascontiguousarray(s.T)
+            for j, t in enumerate(targets):
+                if len(t) >= order:
+                    out[chosen, j] = _kernel_column(s, t, order, decay) / own[j]
     return out
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
+
+
 def _kernel_column(s: np.ndarray, t: np.ndarray, order: int, decay: float) -> np.ndarray:
-    count, n = s.shape
-    m = len(t)
-    same = (s[:, :, None] == t[None, None, :]).astype(np.float32)
-    # ends[:, i, j]: weight of subsequences whose last character is matched at (i, j)
-    ends = same * np.float32(decay * decay)
+    """``s`` holds a string per column."""
+    same = (s[:, None, :] == t[None, :, None]).astype(np.float32)
+    unit = np.float32(decay * decay)
+    decay = np.float32(decay)
+    # ends[i, j]: weight of the subsequences whose last characters match at i and j
+    ends = same * unit
     for _ in range(order - 1):
-        # sum over all earlier pairs, weighted by the gaps up to here
-        reach = np.zeros((count, n, m), np.float32)
-        row = np.zeros((count, m), np.float32)
-        for i in range(1, n):
-            # row[:, j] = sum over j' <= j of decay^(j - j') * ends[:, i - 1, j'] and earlier rows
-            line = ends[:, i - 1].copy()
-            for j in range(1, m):
-                line[:, j] += decay * line[:, j - 1]
-            row = decay * row + line
-            reach[:, i, 1:] = row[:, :-1]
-        ends = same * reach * np.float32(decay * decay)
-    return ends.sum(axis=(1, 2))
+        # sums over all earlier pairs of places, weighted by the gaps up to here
+        for j in range(1, ends.shape[1]):
+            ends[:, j] += decay * ends[:, j - 1]
+        for i in range(1, ends.shape[0]):
+            ends[i] += decay * ends[i - 1]
+        reach = np.zeros_like(ends)
+        reach[1:, 1:] = ends[:-1, :-1]
+        ends = same * reach
+        ends *= unit
+    return ends.sum(axis=(0, 1))
 
 
 @dataclass
@@ -127,10 +132,14 @@ class Model:
     settings: Settings = Settings()
 
     def margins(self, words: list[bytes]) -> np.ndarray:
-        if not words:
-            return np.empty(0, np.float32)
-        found = kernel(words, self.landmarks, self.settings.order, self.settings.decay)
-        return found @ self.weights + self.bias
+        """Margin of each word: that of its worst window."""
+        windows = [units(w) for w in words]
+        flat = [u for us in windows for u in us]
+        if not flat:
+            return np.empty(0)
+        at = kernel(flat, self.landmarks, self.settings.order, self.settings.decay)
+        margin = at**self.settings.power @ self.weights + self.bias
+        return np.maximum.reduceat(margin, np.cumsum([0] + [len(us) for us in windows[:-1]]))
 
     def score(self, margin: np.ndarray) -> np.ndarray:
         if self.constant is not None:
@@ -175,14 +184,15 @@ def _logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def _pieces(text: bytes) -> set[bytes]:
     out: set[bytes] = set()
-    for word in units(text):
-        for n in range(4, min(len(word), 10) + 1):
-            out.add(word[:n])
+    for word in raw_units(text):
+        bare = word.strip(_ENDS).decode("utf-8", "replace")
+        for n in range(4, min(len(bare), 10) + 1):
+            out.add(bare[:n].encode())
     return out
 
 
 def _counted_pieces(docs: DataFrame, only: set[bytes] | None) -> DataFrame:
-    """Documents that hold each word beginning of 4 to 10 bytes, counted per partition first."""
+    """Documents that hold each word beginning of 4 to 10 characters, counted per partition first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[bytes, int] = {}
@@ -216,7 +226,16 @@ def choose_landmarks(toxic: DataFrame, clean: DataFrame, n_toxic: int, n_clean:
     rates = {
         p: (n / n_toxic) / ((of_clean.get(p, 0) + 0.5) / max(n_clean, 1)) for p, n in of_toxic.items()
     }
-    marked = {p: n for p, n in of_toxic.items() if rates[p] >= 8}
+    # how unlikely so many are by chance, against the number of pieces looked at
+    surprise = 2 * np.log(max(len(of_toxic), 1)) + 4
+    prior = n_toxic / (n_toxic + n_clean)
+
+    def gain(p: bytes) -> float:
+        a, b = of_toxic[p], of_clean.get(p, 0)
+        other = b * np.log(b / ((a + b) * (1 - prior))) if b else 0.0
+        return 2 * (a * np.log(a / ((a + b) * prior)) + other)
+
+    marked = {p: n for p, n in of_toxic.items() if rates[p] >= 8 and gain(p) >= surprise}
     chosen: list[bytes] = []
     # the longest piece that is still nearly as frequent stands for its beginnings
     for piece in sorted(marked, key=lambda p: (-marked[p], -len(p), p)):
@@ -229,39 +248,95 @@ def choose_landmarks(toxic: DataFrame, clean: DataFrame, n_toxic: int, n_clean:
     return chosen
 
 
-def learn(labelled: DataFrame, settings: Settings = Settings()) -> Model:
-    """``labelled``: doc_id, text, toxic (0 or 1)."""
+def near_words(docs: DataFrame, landmarks: list[bytes], settings: Settings) -> list[bytes]:
+    """Word windows of ``docs`` that all but hold a landmark, by the documents that have them."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, bool] = {}
+        counts: dict[bytes, int] = {}
+        for batch in batches:
+            for low in range(0, batch.num_rows, 500):
+                texts = batch.column(0).slice(low, 500).cast(pa.binary())
+                found = [{u for w in raw_units(t.as_py() or b"") for u in units(w)} for t in texts]
+                new = list(set().union(*found) - seen.keys())
+                if new:
+                    at = kernel(new, landmarks, settings.order, settings.decay).max(axis=1)
+                    seen.update(zip(new, (at >= settings.near).tolist()))
+                for words in found:
+                    for word in words:
+                        if seen[word]:
+                            counts[word] = counts.get(word, 0) + 1
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())],
+            names=["word", "n"],
+        )
+
+    found = docs.select("text").mapInArrow(find, "word binary, n long").groupBy("word")
+    rows = found.agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(settings.near_words)
+    return [bytes(r["word"]) for r in rows.collect()]
+
+
+def sampled(labels: DataFrame, settings: Settings) -> tuple[DataFrame, int, int]:
+    """A sample of ``labels`` (doc_id, toxic), at most about ``sample_documents``, and how many
+    labels of all and of toxic documents there are."""
+    counts = labels.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
+    mark = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(11)), F.lit(1 << 20))
+    share = min(1.0, settings.sample_documents / max(counts["n"], 1))
+    return labels.filter(mark < int(share * (1 << 20))), counts["n"], counts["toxic"] or 0
+
+
+def learn(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
+    """From ``docs`` (doc_id, text) and their ``labels`` (doc_id, toxic: 0 or 1)."""
     model = Model(settings=settings)
-    counts = labelled.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
-    n, n_toxic = counts["n"], counts["toxic"] or 0
+    asked, n, n_toxic = sampled(labels, settings)
     if n_toxic in (0, n):
         model.constant = n_toxic / n if n else 0.0
         return model
-    mark = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(11)), F.lit(1 << 20))
-    share = min(1.0, settings.sample_documents / n)
-    sample = stage(labelled.filter(mark < int(share * (1 << 20))), "toxicity-sample")
+    asked = asked.withColumnRenamed("doc_id", "_labelled")
+    # the sample is bounded, so it may be sent to the tasks that read the texts
+    found = docs.join(F.broadcast(asked), F.col("doc_id") == F.col("_labelled"))
+    # near copies would make chance words of a text look frequent: one of those whose rarest
+    # long word (by hash) is the same
+    long_words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: F.length(w) >= 7)
+    key = F.array_min(F.transform(long_words, lambda w: F.xxhash64(w)))
+    sample = stage(
+        found.select("doc_id", "text", "toxic", F.coalesce(key, F.xxhash64("text")).alias("key"))
+        .dropDuplicates(["key", "toxic"])
+        .drop("key"),
+        "toxicity-sample",
+    )
+    share_toxic = n_toxic / n
     toxic, clean = sample.filter("toxic = 1"), sample.filter("toxic = 0")
     n_toxic, n_clean = toxic.count(), clean.count()
     model.landmarks = choose_landmarks(toxic, clean, max(n_toxic, 1), n_clean, settings)
     if not model.landmarks or not n_clean:
-        model.landmarks, model.constant = [], (counts["toxic"] / n)
+        model.landmarks, model.constant = [], share_toxic
         return model
     order = F.xxhash64(F.col("doc_id").cast("string"), F.lit(13))
     bags = [
-        [units((r["text"] or "").encode()) for r in part.orderBy(order).limit(settings.bag_documents).collect()]
+        [
+            {u for w in raw_units((r["text"] or "").encode()) for u in units(w)}
+            for r in part.orderBy(order).limit(settings.bag_documents).collect()
+        ]
         for part in (toxic, clean)
     ]
-    words = sorted(set().union(*bags[0], *bags[1]))
+    marked, unmarked = (set(near_words(part, model.landmarks, settings)) for part in (toxic, clean))
+    words = sorted(set().union(*bags[0], *bags[1], marked, unmarked))
     place = {w: k for k, w in enumerate(words)}
     gram = kernel(model.landmarks, model.landmarks, settings.order, settings.decay).astype(float)
+    gram = ((gram + gram.T) / 2) ** settings.power
     values, vectors = np.linalg.eigh(gram)
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6 * values.max()))) @ vectors.T
-    x = kernel(words, model.landmarks, settings.order, settings.decay).astype(float) @ root
+    x = kernel(words, model.landmarks, settings.order, settings.decay).astype(float)
+    x = x**settings.power @ root
     bad = [np.array([place[w] for w in bag]) for bag in bags[0] if bag]
-    good = np.unique(np.concatenate([np.array([place[w] for w in bag], int) for bag in bags[1]] + [np.empty(0, int)]))
+    clean_words = set().union(unmarked, *bags[1])
+    good = np.array(sorted(place[w] for w in clean_words), int)
+    sure = np.array(sorted(place[w] for w in marked - clean_words), int)
     margin = np.linalg.norm(x, axis=1)
     for _ in range(settings.rounds):
-        witness = np.unique([bag[np.argmax(margin[bag])] for bag in bad])
+        witness = np.array([bag[np.argmax(margin[bag])] for bag in bad], int)
+        witness = np.unique(np.concatenate([witness, sure]))
         witness = np.setdiff1d(witness, good)
         if not len(witness) or not len(good):
             break
@@ -271,7 +346,7 @@ def learn(labelled: DataFrame, settings: Settings = Settings()) -> Model:
         model.weights = (root @ w).astype(np.float32)
         margin = x @ w + model.bias
     if model.weights is None:
-        model.constant = counts["toxic"] / n
+        model.constant = share_toxic
         return model
     model.lowest = float(margin.min())
     seen = scored(sample.select("doc_id", "text", "toxic"), model, ["toxic"]).select("margin", "toxic").toArrow()
@@ -291,7 +366,7 @@ def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             for low in range(0, batch.num_rows, 1000):
                 part = batch.slice(low, 1000)
                 found = [
-                    units(t.as_py() or b"") if model.constant is None else set()
+                    raw_units(t.as_py() or b"") if model.constant is None else set()
                     for t in part.column(len(keep)).cast(pa.binary())
                 ]
                 new = set().union(*found) - known.keys()
@@ -322,6 +397,5 @@ def score_documents(docs: DataFrame, labels: DataFrame, settings: Settings = Set
     of = labels.filter("toxic is not null").select(
         F.col("doc_id").alias("_labelled"), F.col("toxic").cast("int").alias("toxic")
     )
-    training = marked.filter("not held_out").join(of, F.col("doc_id") == F.col("_labelled"))
-    model = learn(training.select("doc_id", "text", "toxic"), settings)
+    model = learn(marked, of.filter(~held_out(F.col("_labelled"))).withColumnRenamed("_labelled", "doc_id"), settings)
     return scored(marked, model, ["doc_id", "held_out"])
