@@ -52,10 +52,3 @@ POSITIVE_RATING = 5
 NEGATIVE_BELOW = 4
 PAGE_SIZE = 10
 CACHE_DAYS = 30
-
-# Fixed value: address of one page of reviews.
-REVIEW_PAGE_URL = (
-    "https://club.jd.com/comment/skuProductPageComments.action?"
-    "callback=@&productId=#&score=0&sortType=5&"
-    "page=$&pageSize=10&isShadowSku=0"
-)

@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_SHORT = 64
-
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once per row, also when used inside a lambda."""
@@ -30,8 +28,8 @@ def ordered_by_parent(entries: Column) -> Column:
 def children(ordered: Column, parent: Column) -> Column:
     """The entries with this parent, in the order of ``i``.
 
-    A short list is filtered. A long one is cut at the first and last place of the parent,
-    so a clause of thousands of words needs no lambda call for every pair of its words.
+    The list is cut at the first and last place of the parent, so a clause of thousands of
+    words needs no lambda call for every pair of its words.
     """
     entries = ordered["entries"]
     ends = F.struct(
@@ -47,9 +45,7 @@ def children(ordered: Column, parent: Column) -> Column:
             F.when(p["first"] > 0, after - p["first"]).otherwise(0).cast("int"),
         )
 
-    return F.when(
-        F.size(entries) <= _SHORT, F.filter(entries, lambda e: e["parent"] == parent)
-    ).otherwise(let(ends, run))
+    return let(ends, run)
 
 
 def rows_of(df: DataFrame, array: str, name: str, *keep: str) -> DataFrame:

@@ -7,7 +7,7 @@ themselves, and the label of every word pair is joined back once at the end.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlens import fixed_values as fixed
@@ -22,6 +22,11 @@ EDGE = ["pId", "f", "fpos", "s", "spos"]
 _REACHED = "pId bigint, word string, t int"
 
 
+def tag(word: Column) -> Column:
+    """The tag of a word, empty when it has none, so that it equals itself in joins."""
+    return F.coalesce(word["pos"], F.lit(""))
+
+
 def word_edges(pairs: DataFrame, seeds: str = SEEDS) -> DataFrame:
     """Distinct word pairs of each product with the number of pairs ``n`` behind them.
 
@@ -35,9 +40,9 @@ def word_edges(pairs: DataFrame, seeds: str = SEEDS) -> DataFrame:
         .select(
             "pId",
             feature["cont"].alias("f"),
-            feature["pos"].alias("fpos"),
+            tag(feature).alias("fpos"),
             F.when(valid, sentiment["cont"]).alias("s"),
-            F.when(valid, sentiment["pos"]).alias("spos"),
+            F.when(valid, tag(sentiment)).alias("spos"),
             feature["cont"].rlike(seeds).alias("seed"),
         )
         .filter(F.col("seed") | F.col("s").isNotNull())
@@ -153,9 +158,9 @@ def label_pairs(pairs: DataFrame, labelled: DataFrame) -> DataFrame:
     keyed = pairs.filter(valid).withColumns(
         {
             "f": F.col("feature.cont"),
-            "fpos": F.col("feature.pos"),
+            "fpos": tag(F.col("feature")),
             "s": F.col("sentiment.cont"),
-            "spos": F.col("sentiment.pos"),
+            "spos": tag(F.col("sentiment")),
         }
     )
     lookup = labelled.filter(F.col("s").isNotNull()).select(*EDGE, "n", "label")

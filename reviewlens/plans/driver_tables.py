@@ -26,17 +26,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def product_of(source: Column) -> Column:
-    return F.substring(source, 4, 20).cast("long")
+    return F.substr(source, F.lit(4)).cast("long")
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows of a scanned table dealt out to all cores when it has fewer splits than cores.
+    """Rows of a scanned table dealt out evenly, as a row group of any size is read by one task.
 
-    A small file is one row group, read by one task. A large table has far more splits than
-    the cluster has cores and is left as it is, so no text is shuffled there.
+    The pairs of a text cost far more than moving it once. The session's number of shuffle
+    partitions is given, as the texts' size says little about the work they make.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,18 +99,14 @@ def _word(cont: Column, i: Column) -> Column:
 
 
 def _parsed(sentence: Column) -> Column:
-    """Words of a sentence: the runs of plain letters, lower-cased."""
+    """Words of a sentence: the runs without blanks."""
     return F.transform(F.split(F.trim(sentence), " +"), _word)
 
 
-def _letters() -> Column:
-    return F.lower(F.array_join(F.split("text", "[^A-Za-z .\n]+"), ""))
-
-
 def clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parsed clauses of all documents, one per row."""
     return (
-        _sentences(spark, sf_dir, _letters())
+        _sentences(spark, sf_dir, F.lower("text"))
         .filter(F.col("content") != "")
         .select("pId", "cId", "sId", _parsed(F.col("content")).alias("words"))
     )
@@ -122,7 +117,7 @@ def comments_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     sentences_ = F.filter(
         F.transform(
-            F.split(_letters(), "[.\n]+"),
+            F.split(F.lower("text"), "[.\n]+"),
             lambda s, i: F.struct(i.alias("sId"), F.trim(s).alias("content")),
         ),
         lambda s: s["content"] != "",
@@ -143,7 +138,7 @@ def rules() -> Rules:
 
 
 def sentiment_vocabulary(candidates: DataFrame) -> DataFrame:
-    """Distinct sentiment words: one to three plain letters, so fewer than 20,000."""
+    """Distinct sentiment words: one to three characters."""
     valid = candidates.filter(sentiment_length_ok(F.col("sentiment")))
     return valid.select(F.col("sentiment.cont").alias("word")).distinct()
 
@@ -155,8 +150,12 @@ def lexicon(vocabulary: DataFrame) -> DataFrame:
 
 
 def synonym_lines(vocabulary: DataFrame) -> DataFrame:
-    """A line per first letter: the key, then its words in alphabetical order."""
-    grp = F.substring("word", 1, 1)
+    """A line per group: the key, then its words in alphabetical order.
+
+    The group is taken from a hash of the word, so no line holds more than a small part of
+    the vocabulary.
+    """
+    grp = F.substring(F.md5(F.col("word").cast("binary")), 1, 3)
     words = F.array_join(F.sort_array(F.collect_list("word")), " ")
     return vocabulary.groupBy(grp.alias("grp")).agg(
         F.concat("grp", F.lit("= "), words).alias("value")

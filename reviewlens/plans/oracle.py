@@ -39,7 +39,7 @@ _part("clauses", r"""
 SELECT pid, cid, sid, trim(s) AS content FROM (
   SELECT pid, cid, unnest(parts) AS s, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS sid
   FROM (SELECT CAST(substr(source, 4) AS BIGINT) AS pid, doc_id AS cid,
-               string_split_regex(lower(regexp_replace(text, '[^A-Za-z .\n]+', '', 'g')), '[.\n]+') AS parts
+               string_split_regex(lower(text), '[.\n]+') AS parts
         FROM documents))
 WHERE trim(s) <> ''
 """, True)
@@ -170,21 +170,25 @@ SELECT pid, f AS name, count(*) AS freq FROM sides WHERE fok AND seed GROUP BY p
 UNION ALL SELECT pid, name, CAST(freq AS BIGINT) FROM learned WHERE freq > 3
 """)
 
+_part("adverbs", r"""
+SELECT cid, sid, id, parent, cont FROM words WHERE relate = 'ADV' AND regexp_matches(cont, 'un|no|de|th')
+""", True)
 _part("negs", r"""
 SELECT a.cid, a.sid, a.pno, count(*) AS hits, arg_max(w.cont, w.id) AS neg_word, max(w.id) AS neg_id
-FROM accepted a JOIN words w
-  ON w.cid = a.cid AND w.sid = a.sid AND w.relate = 'ADV' AND w.parent = a.sid_
- AND w.id > a.fid AND w.id < a.sid_ AND regexp_matches(w.cont, 'un|no|de|th')
+FROM accepted a JOIN adverbs w
+  ON w.cid = a.cid AND w.sid = a.sid AND w.parent = a.sid_ AND w.id > a.fid AND w.id < a.sid_
 GROUP BY ALL
-""")
+""", True)
 _part("with_negs", r"""
 SELECT a.*, CASE WHEN hits % 2 = 1 THEN neg_id END AS neg_id, CASE WHEN hits % 2 = 1 THEN neg_word END AS neg_word
 FROM accepted a LEFT JOIN negs n ON n.cid = a.cid AND n.sid = a.sid AND n.pno = a.pno
 """)
+_part("openings", r"""
+SELECT cid, sid FROM words WHERE id = 0 AND pos IN ('c', 'd') AND regexp_matches(cont, 'die|the|la|es')
+""", True)
 _part("resets", r"""
-SELECT a.cid, max(a.sid) AS last FROM accepted a JOIN words w ON w.cid = a.cid AND w.sid = a.sid AND w.id = 0
-WHERE w.pos IN ('c', 'd') AND regexp_matches(w.cont, 'die|the|la|es') GROUP BY a.cid
-""")
+SELECT a.cid, max(a.sid) AS last FROM accepted a JOIN openings w ON w.cid = a.cid AND w.sid = a.sid GROUP BY a.cid
+""", True)
 _part("tuples", r"""
 SELECT n.* FROM with_negs n LEFT JOIN resets r ON r.cid = n.cid WHERE n.sid >= coalesce(r.last, n.sid)
 """)
@@ -196,8 +200,8 @@ FROM vocabulary WHERE contains(word, 'a') OR contains(word, 'e')
 _part("polarity", r"""
 SELECT v.word, CAST(coalesce(l.polarity, g.polarity) AS INTEGER) AS polarity
 FROM vocabulary v LEFT JOIN lexicon l ON l.word = v.word
-LEFT JOIN (SELECT substr(word, 1, 1) AS grp, arg_min(polarity, word) AS polarity FROM lexicon GROUP BY ALL) g
-  ON g.grp = substr(v.word, 1, 1)
+LEFT JOIN (SELECT substr(md5(word), 1, 3) AS grp, arg_min(polarity, word) AS polarity FROM lexicon GROUP BY ALL) g
+  ON g.grp = substr(md5(v.word), 1, 3)
 WHERE l.polarity IS NOT NULL OR g.polarity IS NOT NULL
 """)
 _part("degrees", r"""
@@ -285,7 +289,7 @@ _FINAL = {
     "assign_ids": """
         SELECT row_number() OVER (ORDER BY conv_id, page, pos) - 1 AS cId, conv_id, page, pos, score FROM results""",
     "format_comments": """
-        SELECT CAST(4297772 AS BIGINT) AS pId, row_number() OVER (ORDER BY conv_id, page, pos) - 1 AS cId,
+        SELECT CAST(1000 AS BIGINT) AS pId, row_number() OVER (ORDER BY conv_id, page, pos) - 1 AS cId,
                content, score FROM results""",
     "normalise_newlines": "SELECT doc_id, replace(text, chr(10), '。') AS content FROM documents",
     "repeat_ratio": r"""
@@ -308,8 +312,8 @@ _FINAL = {
                CASE WHEN pos % 3 > 0 THEN score ELSE 0 END AS rating, content AS text FROM results""",
     "page_plan": """
         SELECT pId, CAST(page AS INTEGER) AS page,
-               'https://club.jd.com/comment/skuProductPageComments.action?callback=fetchJSON_comment98vv' || pId
-               || '&productId=' || pId || '&score=0&sortType=5&page=' || page || '&pageSize=10&isShadowSku=0' AS url
+               'https://shop.example.com/reviews?callback=cb' || pId
+               || '&product=' || pId || '&page=' || page || '&size=10' AS url
         FROM (SELECT pId, unnest(range(maxsize // 10)) AS page
               FROM (SELECT CAST(substr(source, 4) AS BIGINT) AS pId, count(*) AS maxsize FROM documents GROUP BY ALL))""",
     "set_query_param": r"""

@@ -19,7 +19,8 @@ from reviewlens.sources import parses, review_pages, tables as stored, text_file
 from reviewlens.streaming import ingest
 
 KEY = ["pId", "cId", "sId", "pairNo"]
-CALLBACK = "fetchJSON_comment98vv"
+CALLBACK = "cb"
+PAGE_URL = "https://shop.example.com/reviews?callback=@&product=#&page=$&size=10"
 
 
 # --- results, cleaning, ids -------------------------------------------------------------
@@ -38,7 +39,7 @@ def assign_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 def format_comments(spark: SparkSession, sf: str) -> DataFrame:
     raw = tables.raw_comments(spark, sf)
-    return comments.format_comments(raw, F.lit(4297772), ["conv_id", "page", "pos"])
+    return comments.format_comments(raw, F.lit(1000), ["conv_id", "page", "pos"])
 
 
 def normalise_newlines(spark: SparkSession, sf: str) -> DataFrame:
@@ -78,12 +79,21 @@ def _attribute(name: str, value: Column) -> Column:
     return F.concat(F.lit(f' {name}="'), value.cast("string"), F.lit('"'))
 
 
+def _escaped(value: Column) -> Column:
+    out = value
+    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\t", "&#9;")):
+        out = F.replace(out, F.lit(sign), F.lit(entity))
+    return F.when(value.rlike('[&<>"\t]'), out).otherwise(value)
+
+
 def _parse_xml(spark: SparkSession, sf: str) -> DataFrame:
     """The parses of a document as the XML an analysis service answers with."""
 
     def word(w: Column) -> Column:
         names = ["id", "cont", "pos", "ne", "parent", "relate"]
-        return F.concat(F.lit("<word"), *[_attribute(n, w[n]) for n in names], F.lit("/>"))
+        values = [_escaped(w[n]) if n == "cont" else w[n] for n in names]
+        written = [_attribute(n, v) for n, v in zip(names, values)]
+        return F.concat(F.lit("<word"), *written, F.lit("/>"))
 
     def sentence(s: Column) -> Column:
         words = F.array_join(F.transform(s["sDpResult"], word), "")
@@ -190,7 +200,7 @@ def page_plan(spark: SparkSession, sf: str) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("maxsize"))
         .withColumn("callback", F.concat(F.lit(CALLBACK), "pId"))
     )
-    return web_pages.page_plan(products)
+    return web_pages.page_plan(products, PAGE_URL)
 
 
 def set_query_param(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from reviewlens import fixed_values as fixed
 
 
-def page_plan(products: DataFrame, template: str = fixed.REVIEW_PAGE_URL) -> DataFrame:
+def page_plan(products: DataFrame, template: str) -> DataFrame:
     """The addresses of all full review pages of each product.
 
     ``products`` has pId, callback and maxsize.
@@ -38,14 +38,17 @@ def set_query_parameter(url: Column, name: str, value: Column) -> Column:
 def latest_pages(cache: DataFrame, now: Column, days: int = fixed.CACHE_DAYS) -> DataFrame:
     """The newest unexpired entry of each address.
 
-    Rows are merged on the map side, so an address fetched very often is cheap.
+    Addresses and times alone find the newest; its page is joined back, so no other page
+    body is shuffled. Of entries with equal times the one with the larger other columns counts.
     """
     fresh = F.col("fetched_at") >= now - F.expr(f"interval {days} days")
     rest = [c for c in cache.columns if c not in ("url", "fetched_at")]
-    newest = F.max_by(F.struct(*rest, "fetched_at"), F.col("fetched_at"))
-    return (
-        cache.filter(fresh).groupBy("url").agg(newest.alias("e")).select("url", "e.*")
+    entries = cache.filter(fresh).withColumn("_tie", F.xxhash64(*rest))
+    newest = entries.groupBy("url").agg(F.max(F.struct("fetched_at", "_tie")).alias("_newest"))
+    found = entries.join(
+        newest.select("url", "_newest.fetched_at", "_newest._tie"), ["url", "fetched_at", "_tie"]
     )
+    return found.dropDuplicates(["url", "_tie"]).select("url", *rest, "fetched_at")
 
 
 def cached(urls: DataFrame, cache: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from reviewlens import fixed_values as fixed
 from reviewlens import schemas
 from reviewlens.functions.text import newlines_marked
 from reviewlens.operators.comments import flatten_results, purge
@@ -28,21 +29,31 @@ def clean_comments(results: DataFrame) -> DataFrame:
     return purge(rows.withColumn("content", newlines_marked(F.col("content"))))
 
 
-def without_repeats(results: DataFrame, days: int = fixed.CACHE_DAYS) -> DataFrame:
-    """Each task result once within the horizon; state is one key per result."""
-    return results.withWatermark("fetched_at", f"{days} days").dropDuplicatesWithinWatermark(["_id"])
-
+def start_ingest(results: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Append the clean comments of all files present, each task result once, then stop.
+
+    A result counts as seen when its id is in the ledger beside ``out``, however old it is;
+    no row is late. Every batch writes folders of its own and leaves them out when it looks
+    for ids, so a batch that is run again replaces what it wrote.
+    """
+    spark = results.sparkSession
+    ledger = f"{out}-ids"
+    spark.createDataFrame([], "_id string").write.mode("overwrite").parquet(f"{ledger}/batch=start")
+    run = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
+
+    def write(batch: DataFrame, number: int) -> None:
+        name = f"{run}-{number}"
+        seen = spark.read.schema("_id string, batch string").parquet(ledger)
+        earlier = seen.filter(F.col("batch") != name).select("_id")
+        fresh = batch.dropDuplicates(["_id"]).join(earlier, "_id", "left_anti")
+        fresh.select("_id").write.mode("overwrite").parquet(f"{ledger}/batch={name}")
+        kept = spark.read.schema("_id string").parquet(f"{ledger}/batch={name}")
+        new = batch.dropDuplicates(["_id"]).join(kept, "_id", "left_semi")
+        clean_comments(new).write.mode("overwrite").parquet(f"{out}/batch={name}")
 
-def start_ingest(
-    results: DataFrame, out: str, checkpoint: str, days: int = fixed.CACHE_DAYS
-) -> StreamingQuery:
-    """Append the clean comments of all files present, then stop."""
     return (
-        clean_comments(without_repeats(results, days))
-        .writeStream.format("parquet")
-        .option("path", out)
+        results.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )

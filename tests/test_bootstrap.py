@@ -1,9 +1,13 @@
 import random
 
+import duckdb
+import pandas as pd
+
 from pyspark.sql import functions as F
 
 from helpers import opinions
 from reviewlens.operators import bootstrap
+from reviewlens.plans.oracle import _PARTS
 
 SEEDS = "屏幕"
 B1 = [
@@ -44,55 +48,35 @@ def test_hand_worked_case(spark):
     assert labels == [-1, 0, 0, 0, 0, 0, 1, 1, 0]
 
 
-def sequential(pairs, seeds):
-    """The passes one after the other over the pairs in order, with growing word counts."""
-    seed_counts, features, sentiments = {}, {}, {}
-    label = [0] * len(pairs)
-    bump = lambda d, k: d.__setitem__(k, d.get(k, 0) + 1)
-
-    def by_feature(i, known, counts):
-        f, _, s, sp = pairs[i]
-        if not 2 <= len(f) <= 4:
-            return 1
-        if not known(f):
-            return 0
-        bump(counts, f)
-        if not 1 <= len(s) <= 3:
-            return 1
-        if sp == "a":
-            bump(sentiments, s)
-            return -1
-        return 1
-
-    def by_sentiment(i):
-        f, fp, s, _ = pairs[i]
-        if not 1 <= len(s) <= 3:
-            return 1
-        if s not in sentiments:
-            return 0
-        bump(sentiments, s)
-        if not 2 <= len(f) <= 4:
-            return 1
-        if fp in "nv":
-            bump(features, f)
-            return -1
-        return 1
-
-    def sweep(rule):
-        for i in range(len(pairs)):
-            if label[i] == 0:
-                label[i] = rule(i)
-
-    sweep(lambda i: by_feature(i, lambda f: any(x in f for x in seeds), seed_counts))
-    before = None
-    while before != (total := sum(features.values()) + sum(sentiments.values())):
-        before = total
-        sweep(by_sentiment)
-        sweep(lambda i: by_feature(i, features.__contains__, features))
-    return label, seed_counts, features, sentiments
-
-
-def test_random_products_agree_with_sequential_passes(spark):
+def by_sql(made, seeds, threshold):
+    """Labels and word counts of the products by the SQL that the queries are compared with."""
+    sides = pd.DataFrame(
+        [
+            (p, i, f, fp, s, sp, 2 <= len(f) <= 4, 1 <= len(s) <= 3, any(x in f for x in seeds))
+            for p, pairs in made.items()
+            for i, (f, fp, s, sp) in enumerate(pairs)
+        ],
+        columns=["pid", "pno", "f", "fpos", "s", "spos", "fok", "sok", "seed"],
+    )
+    db = duckdb.connect()
+    db.register("sides", sides)
+    parts = [_PARTS[p] for p in ("edges", "reach", "by_edge", "labelled", "marked")]
+    head = "WITH RECURSIVE " + ", ".join(parts)
+    # a seed feature with a sentiment of invalid length is rejected, and so is an invalid feature
+    labels = db.execute(head + " SELECT pid, pno, label FROM marked").fetchall()
+    learned = db.execute(
+        head + f""" SELECT pid, f, sum(n) FROM labelled
+        WHERE NOT seed AND (by_side = 'f' OR label = -1) GROUP BY ALL HAVING sum(n) > {threshold}
+        UNION ALL SELECT pid, f, count(*) FROM sides WHERE fok AND seed GROUP BY ALL"""
+    ).fetchall()
+    felt = db.execute(
+        head + f""" SELECT pid, s, sum(n) FROM labelled
+        WHERE by_side = 's' OR label = -1 GROUP BY ALL HAVING sum(n) > {threshold}"""
+    ).fetchall()
+    return ({(p, i): l for p, i, l in labels}, {(p, w): n for p, w, n in learned}, {(p, w): n for p, w, n in felt})
+
+
+def test_random_products_agree_with_sql(spark):
     rng = random.Random(3)
     made = {}
     for p in range(60):
@@ -106,15 +90,17 @@ def test_random_products_agree_with_sequential_passes(spark):
         df = part if df is None else df.unionByName(part)
     df = df.repartition(7)
     labels, features, sentiments = run(spark, df, threshold=2, seeds="ab|c")
-    rng.shuffle(order := list(made))
-    for p in order:
-        label, seed_counts, learned, felt = sequential(made[p], ["ab", "c"])
-        assert [labels[p, i] for i in range(len(label))] == label, p
-        wanted = {**seed_counts, **{k: v for k, v in learned.items() if v > 2}}
-        assert {k[1]: v for k, v in features.items() if k[0] == p} == wanted
-        assert {k[1]: v for k, v in sentiments.items() if k[0] == p} == {
-            k: v for k, v in felt.items() if v > 2
-        }
+    assert (labels, features, sentiments) == by_sql(made, ["ab", "c"], 2)
+
+
+def test_words_without_a_tag_never_match(spark):
+    df = opinions(
+        spark,
+        [("屏幕", None, "好", "a"), ("外观", None, "好", "a"), ("做工", "n", "好", None), ("屏幕", "n", "漂亮", None)],
+    )
+    labels, _, _ = run(spark, df)
+    # a seed needs no tag; a feature reached from a sentiment does, and so does the sentiment of a seed
+    assert labels == {(1, 0): -1, (1, 1): 1, (1, 2): -1, (1, 3): 1}
 
 
 def test_products_do_not_share_words(spark):

@@ -1,8 +1,10 @@
-from pyspark.sql import functions as F
+import duckdb
+import pandas as pd
 
 from helpers import clauses, words
 from reviewlens import schemas
 from reviewlens.operators import pairs as word_pairs
+from reviewlens.plans.oracle import _PARTS
 
 
 def found(df):
@@ -53,29 +55,24 @@ def test_missing_head_gives_no_base_pair(spark):
     assert found(clauses(spark, "0:好/a/ATT/7 1:屏幕/n/COO/7")) == [("屏幕", "好", "head", "ATT")]
 
 
-def brute_force(ws):
-    out = []
-    for w in ws:
-        if w[5] not in ("SBV", "VOB", "ATT", "CMP"):
-            continue
-        forward = w[5] in ("ATT", "SBV")
-        head = next((x for x in ws if x[0] == w[4]), None)
-        add = lambda dep, hd: out.append((dep, hd) if forward else (hd, dep))
-        add(w, head)
-        last_w = last_head = None
-        for m in ws:
-            if m[5] == "COO" and m[4] == w[0]:
-                last_w = m
-                add(m, head)
-            if m[5] == "COO" and m[4] == w[4]:
-                last_head = m
-                add(w, m)
-        if last_w and last_head:
-            add(last_w, last_head)
-    return [(a[0], b[0]) for a, b in out if a and b]
-
-
-def test_random_clauses_agree_with_nested_loops(spark):
+def by_sql(made):
+    """The pairs of the clauses by the SQL that the queries are compared with."""
+    words = pd.DataFrame(
+        [(1, c, 0, i, cont, pos, relate, parent) for c, ws in enumerate(made) for i, cont, pos, _, parent, relate in ws],
+        columns=["pid", "cid", "sid", "id", "cont", "pos", "relate", "parent"],
+    )
+    db = duckdb.connect()
+    db.register("words", words)
+    parts = ["q", "coo", "dependent_side", "head_side", "found", "pairs"]
+    sql = f"""WITH {", ".join(_PARTS[p] for p in parts)}
+        SELECT cid, relate, dep_id, head_id FROM pairs ORDER BY cid, pno"""
+    out = {}
+    for c, relate, dependent, head in db.execute(sql).fetchall():
+        out.setdefault(c, []).append((dependent, head) if relate in ("ATT", "SBV") else (head, dependent))
+    return out
+
+
+def test_random_clauses_agree_with_sql(spark):
     import random
 
     rng = random.Random(7)
@@ -94,8 +91,7 @@ def test_random_clauses_agree_with_nested_loops(spark):
     mine = {}
     for r in rows:
         mine.setdefault(r.cId, []).append((r.first.id, r.second.id))
-    for c, ws in enumerate(made):
-        assert mine.get(c, []) == brute_force(ws), c
+    assert mine == by_sql(made)
 
 
 def test_pairs_plan_has_no_shuffle(spark):

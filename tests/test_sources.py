@@ -1,4 +1,5 @@
 import datetime
+import time
 
 from pyspark.sql import functions as F
 
@@ -229,3 +230,19 @@ def test_stream_agrees_with_batch_and_drops_repeats(spark):
     results.write.mode("append").json(inbox)
     ingest.start_ingest(ingest.result_stream(spark, inbox), out, progress).awaitTermination()
     assert read() == batch
+
+
+def test_stream_loses_no_late_results(spark):
+    """Old files that arrive last, one by one or together, in any order."""
+    made = [
+        (f"r{i}", "SUCCESS", f'[{{"content":"text number{i}","score":5}}]', datetime.datetime(2024, 6 if i < 3 else 1, 1 + i))
+        for i in range(4)
+    ]
+    batch = sorted(r._id for r in ingest.clean_comments(spark.createDataFrame(made, ingest.RESULTS)).collect())
+    for per_batch, order in ((1, [0, 1, 2, 3]), (1, [3, 2, 1, 0]), (1000, [0, 1, 2, 3])):
+        inbox, out, progress = (new_folder(spark, n) for n in ("inbox", "out", "progress"))
+        for i in order:
+            spark.createDataFrame([made[i]], ingest.RESULTS).coalesce(1).write.mode("append").json(inbox)
+            time.sleep(0.05)
+        ingest.start_ingest(ingest.result_stream(spark, inbox, per_batch), out, progress).awaitTermination()
+        assert sorted(r._id for r in spark.read.schema("_id string").parquet(out).collect()) == batch
