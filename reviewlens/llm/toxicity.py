@@ -66,10 +66,16 @@ def raw_units(text: bytes) -> set[bytes]:
 
 
 def units(word: bytes) -> list[bytes]:
-    """What is compared of a word: itself without signs at its ends, in windows when long."""
+    """What is compared of a word: itself without signs at its ends, and without any signs, in
+    windows when long."""
     bare = word.strip(_ENDS)
+    plain = bare.translate(None, _ENDS)
     half = WINDOW // 2
-    return [bare[at : at + WINDOW] for at in range(0, max(len(bare) - half, 1), half)]
+    return [
+        part[at : at + WINDOW]
+        for part in ([bare] if plain == bare else [bare, plain])
+        for at in range(0, max(len(part) - half, 1), half)
+    ]
 
 
 def kernel(words: list[bytes], others: list[bytes], order: int, decay: float) -> np.ndarray:
