@@ -46,12 +46,13 @@ class WordEncoder:
         parts = []
         for begin in range(0, len(words), 100_000):
             piece = words[begin : begin + 100_000]
-            new = set(piece) - self._known.keys()
+            # set(piece) - keys would walk through all keys for every text
+            new = [w for w in set(piece) if w not in self._known]
             if new:
                 # dropping what was known may drop words of this piece as well
                 if len(self._known) + len(new) > self._limit:
-                    new = set(piece)
-                self._learn(list(new))
+                    new = list(set(piece))
+                self._learn(new)
             parts.append(b"".join(map(self._known.__getitem__, piece)))
         return b"".join(parts)
 
