@@ -264,7 +264,7 @@ def near_words(docs: DataFrame, landmarks: list[bytes], settings: Settings) -> l
             for low in range(0, batch.num_rows, 500):
                 texts = batch.column(0).slice(low, 500).cast(pa.binary())
                 found = [{u for w in raw_units(t.as_py() or b"") for u in units(w)} for t in texts]
-                new = list(set().union(*found) - seen.keys())
+                new = [u for u in set().union(*found) if u not in seen]
                 if new:
                     at = kernel(new, landmarks, settings.order, settings.decay).max(axis=1)
                     seen.update(zip(new, (at >= settings.near).tolist()))
@@ -375,13 +375,12 @@ def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                     raw_units(t.as_py() or b"") if model.constant is None else set()
                     for t in part.column(len(keep)).cast(pa.binary())
                 ]
-                new = set().union(*found) - known.keys()
+                new = [w for w in set().union(*found) if w not in known]
                 if new:
                     if len(known) + len(new) > model.settings.cache_words:
                         known.clear()
-                        new = set().union(*found)
-                    listed = list(new)
-                    known.update(zip(listed, model.margins(listed).tolist()))
+                        new = list(set().union(*found))
+                    known.update(zip(new, model.margins(new).tolist()))
                 margin = np.array(
                     [max(map(known.__getitem__, f), default=model.lowest) for f in found], float
                 )
