@@ -49,10 +49,12 @@ def pieces(
 
         encode = encoder(tokenizer).encode
         last = end_id.to_bytes(4, "little")
-        for batch in batches:
+        for batch in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
             doc_ids, number, start, length, crc = [], [], [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
-                ids = encode(text.as_py()) + last
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            encoder(tokenizer).prepare(texts)
+            for doc_id, text in zip(batch.column(0).to_pylist(), texts):
+                ids = encode(text) + last
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     doc_ids.append(doc_id)

@@ -159,13 +159,14 @@ def write(
         path = f"{root}/part-{part:06d}-{uuid.uuid4().hex}.zst"
         writer = out = None
         last = struct.pack("<I", end_id)
-        for batch in batches:
-            if batch.num_rows and writer is None:
+        for batch in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
+            if writer is None:
                 out = store.open_output_stream(path, compression=None)
                 writer = FrameWriter(out, 2 if end_id < 1 << 16 and _fits(tokenizer) else 4)
-            texts = batch.column(1).cast(pa.binary())
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            encoder(tokenizer).prepare(texts)
             for doc_id, text in zip(batch.column(0).to_pylist(), texts):
-                writer.add(doc_id, np.frombuffer(encode(text.as_py()) + last, "<u4"))
+                writer.add(doc_id, np.frombuffer(encode(text) + last, "<u4"))
         if writer is not None:
             writer.close()
             out.close()

@@ -11,7 +11,7 @@ import os
 import sys
 from types import ModuleType
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_000_000
 
 
 def default_tokenizer() -> str:
@@ -21,6 +21,21 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _core(word: bytes) -> tuple[bytes, bytes]:
+    """A word and the signs that end it, where the tokenizer parts them too.
+
+    Signs are parted from an ASCII letter or digit before them; ASCII words have no other form
+    after normalisation than with A-Z lowered. A special token's name stays as it is.
+    """
+    core = word.rstrip(b".,!?;:")
+    if not core or not core[-1:].isalnum():
+        core = word
+    signs = word[len(core) :]
+    if core.isascii() and b"<|" not in core:
+        core = core.lower()
+    return core, signs
+
+
 class WordEncoder:
     """Little-endian unsigned 32-bit ids of whole texts (as bytes of UTF-8)."""
 
@@ -31,15 +46,32 @@ class WordEncoder:
         self._tokenizer = Tokenizer.from_file(path or default_tokenizer())
         self._limit = limit
         self._known: dict[bytes, bytes] = {}
+        self._cores: dict[bytes, bytes] = {}
 
     def _learn(self, words: list[bytes]) -> None:
         import numpy as np
 
         if len(self._known) + len(words) > self._limit:
             self._known.clear()
-        texts = [w.decode("utf-8", "replace") for w in words]
-        for word, found in zip(words, self._tokenizer.encode_batch(texts, add_special_tokens=False)):
-            self._known[word] = np.array(found.ids, "<u4").tobytes()
+            self._cores.clear()
+        split = [_core(w) for w in words]
+        new = list({c for pair in split for c in pair if c not in self._cores})
+        texts = [c.decode("utf-8", "replace") for c in new]
+        found = [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.array([i for ids in found for i in ids], "<u4").tobytes()
+        at = 0
+        for core, ids in zip(new, found):
+            self._cores[core] = flat[at : at + 4 * len(ids)]
+            at += 4 * len(ids)
+        for word, (core, signs) in zip(words, split):
+            self._known[word] = self._cores[core] + self._cores[signs]
+
+    def prepare(self, texts: list[bytes | None]) -> None:
+        """Learn the new words of several texts in one call, which is far quicker than by text."""
+        known = self._known
+        new = {w for t in texts for w in set((t or b"").split()) if w not in known}
+        if new and len(new) <= self._limit:
+            self._learn(list(new))
 
     def encode(self, text: bytes | None) -> bytes:
         words = (text or b"").split()
