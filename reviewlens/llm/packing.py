@@ -47,14 +47,13 @@ def pieces(
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        encode = encoder(tokenizer).encode
+        encode_all = encoder(tokenizer).encode_all
         last = end_id.to_bytes(4, "little")
         for batch in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
             doc_ids, number, start, length, crc = [], [], [], [], []
             texts = batch.column(1).cast(pa.binary()).to_pylist()
-            encoder(tokenizer).prepare(texts)
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts):
-                ids = encode(text) + last
+            for doc_id, found in zip(batch.column(0).to_pylist(), encode_all(texts)):
+                ids = found + last
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     doc_ids.append(doc_id)

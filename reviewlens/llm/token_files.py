@@ -154,7 +154,7 @@ def write(
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encode = encoder(tokenizer).encode
+        encode_all = encoder(tokenizer).encode_all
         store, root = fs.FileSystem.from_uri(folder)
         path = f"{root}/part-{part:06d}-{uuid.uuid4().hex}.zst"
         writer = out = None
@@ -164,9 +164,8 @@ def write(
                 out = store.open_output_stream(path, compression=None)
                 writer = FrameWriter(out, 2 if end_id < 1 << 16 and _fits(tokenizer) else 4)
             texts = batch.column(1).cast(pa.binary()).to_pylist()
-            encoder(tokenizer).prepare(texts)
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts):
-                writer.add(doc_id, np.frombuffer(encode(text) + last, "<u4"))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode_all(texts)):
+                writer.add(doc_id, np.frombuffer(ids + last, "<u4"))
         if writer is not None:
             writer.close()
             out.close()
