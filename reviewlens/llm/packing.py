@@ -110,7 +110,17 @@ class Island:
     def __init__(self, sizes: list[int], settings: Settings, seed: int):
         self.sizes, self.settings = sizes, settings
         self.random = random.Random(seed)
-        self.members: list[list[int]] = []
+        self._ranked: list[tuple[tuple[int, float], list[int]]] = []
+
+    @property
+    def members(self) -> list[list[int]]:
+        return [packing for _, packing in self._ranked]
+
+    def join(self, packings: list[list[int]]) -> None:
+        """Let ``packings`` into the population, of which the fittest stay."""
+        self._ranked += [(self.fitness(p), p) for p in packings]
+        self._ranked.sort(key=lambda x: x[0])
+        del self._ranked[self.settings.population :]
 
     def fitness(self, packing: list[int]) -> tuple[int, float]:
         """Fewer bins first, then bins that are rather full or empty than alike."""
@@ -136,12 +146,7 @@ class Island:
 
     def start(self) -> None:
         spreads = [0.0] + [0.1 * k for k in range(1, self.settings.population)]
-        self.members = [self.fresh(s) for s in spreads]
-        self._rank()
-
-    def _rank(self) -> None:
-        self.members.sort(key=self.fitness)
-        del self.members[self.settings.population :]
+        self.join([self.fresh(s) for s in spreads])
 
     def _bins(self, packing: list[int]) -> list[list[int]]:
         out: dict[int, list[int]] = {}
@@ -172,11 +177,12 @@ class Island:
     def evolve(self) -> None:
         lowest = -(-sum(self.sizes) // self.settings.capacity)
         for _ in range(self.settings.generations):
-            if self.fitness(self.members[0])[0] <= lowest:
+            (n_bins, _), _ = self._ranked[0]
+            if n_bins <= lowest:
                 return
-            a, b = self.random.sample(range(len(self.members)), 2) if len(self.members) > 1 else (0, 0)
-            self.members.append(self.crossed(self.members[a], self.members[b]))
-            self._rank()
+            members = self.members
+            a, b = self.random.sample(range(len(members)), 2) if len(members) > 1 else (0, 0)
+            self.join([self.crossed(members[a], members[b])])
 
 
 _STATE = (
@@ -193,12 +199,11 @@ def _evolved(state: DataFrame, settings: Settings, epoch: int) -> DataFrame:
             out = []
             for row in frame.itertuples(index=False):
                 island = Island([int(s) for s in row.sizes], settings, hash((row.shard, row.island, epoch)))
-                island.members = [[int(b) for b in m] for m in row.members]
+                island.join([[int(b) for b in m] for m in row.members])
                 if not island.members:
                     island.start()
                 if row.migrant is not None:
-                    island.members.append([int(b) for b in row.migrant])
-                    island._rank()
+                    island.join([[int(b) for b in row.migrant]])
                 island.evolve()
                 out.append(island.members)
             yield frame.assign(members=out, migrant=None)
