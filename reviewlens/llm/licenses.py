@@ -25,6 +25,7 @@ from reviewlens.llm.native import (
     let,
     lower_ascii,
 )
+from reviewlens.session import stage
 
 #: Base phrases and their labels.
 PHRASES = [
@@ -162,7 +163,9 @@ def spans(
     """
     ks = sorted({settings.phrase_gram, settings.notice_gram})
     of = made.select("template", "label", "base", "words", F.size("words").alias("n"))
-    on_diagonals = votes(docs, made, ks, text).join(F.broadcast(of), "template")
+    # both kinds of templates read them, and the texts are read once
+    voted = stage(votes(docs, made, ks, text), "diagonal-votes")
+    on_diagonals = voted.join(F.broadcast(of), "template")
     skipped = F.greatest(-F.col("diagonal"), F.lit(0))
     equal = let(
         F.split("along", " "),
