@@ -264,6 +264,8 @@ def test_word_encoder_agrees_with_the_tokenizer():
 
     encode, whole = WordEncoder(limit=50).encode, tokenizer()
     more = ["it's O'Neil x y don't", "é ́ K İ", "a<|endoftext|>b 12,345.6\x0b\x1cz"]
+    more += ["'tis (word) \"quoted,\" &&&x$$$ a'b' x's' --'s", "Straße ſtrasse İSTANBUL ªº ǅ ΣΑΣ. слово, ñ"]
+    more += ["<|endoftext|> a<|endoftext|> <|startoftext|>x <|a", " ".join(f"w{i} v{i % 7}." for i in range(300))]
     for text in [t or "" for t in cases.texts()[:15]] + more:
         assert np.frombuffer(encode(text.encode()), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
 
