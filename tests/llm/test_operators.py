@@ -392,6 +392,62 @@ def test_suffix_tree_is_a_distribution(spark):
     assert np.allclose(suffix_tree.text_scores(texts, tree), slow, atol=1e-4)
 
 
+def test_contexts_below_the_top_of_the_suffix_tree(spark):
+    from reviewlens.llm import suffix_tree
+
+    settings = suffix_tree.Settings(depth=2, least_share=0.02, block_bytes=3000, bucket_positions=5000)
+    rng = np.random.default_rng(4)
+    often = rng.random(1 << 8)
+    texts = [None, "", cases.prose(1, 30)]
+    for _ in range(120):
+        symbols = rng.integers(0, 2, 8).tolist()
+        for _ in range(200):
+            symbols.append(int(rng.random() < often[int("".join(map(str, symbols[-8:])), 2)]))
+        texts.append("".join("ab"[x] for x in symbols))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    found = {r.doc_id: r for r in suffix_tree.score_texts(docs, settings).collect()}
+    symbols = {i: [256, *(t or "").lower().encode(), 256] for i, t in enumerate(texts)}
+    after = defaultdict(Counter)
+    for i, s in symbols.items():
+        if not found[i].held_out:
+            for at in range(len(s) - 1):
+                for d in range(min(at + 1, 20) + 1):
+                    after[tuple(s[at + 1 - d : at + 1])][s[at + 1]] += 1
+    total = sum(after[()].values())
+    root = np.array([(after[()][x] + 0.5) / (total + 0.5 * 257) for x in range(257)])
+    rows = {}
+
+    def probabilities(context):
+        """Of the context's next symbols, and whether its extensions are counted."""
+        if context not in rows:
+            above, extended = probabilities(context[1:]) if context else (root, True)
+            of = after.get(context, Counter())
+            n, kinds = sum(of.values()), len(of)
+            gain = sum(k * math.log(k / n / above[x]) for x, k in of.items())
+            stays = bool(context) and extended and n >= 16 and gain > 0.5 * kinds * math.log(n)
+            top = len(context) < 2 or len(context) == 2 and n >= max(0.02 * total, 16)
+            top = top and context[1:] != (256,)
+            if stays:
+                above = np.array([(of[x] + kinds * above[x]) / (n + kinds) for x in range(257)])
+            rows[context] = above, stays or top
+        return rows[context]
+
+    deepest = 0
+    for i, s in symbols.items():
+        score = 0.0
+        for at in range(len(s) - 1):
+            d, of = 0, root
+            while d <= at:
+                of, extended = probabilities(tuple(s[at - d : at + 1]))
+                if not extended:
+                    break
+                d += 1
+            deepest = max(deepest, d)
+            score += math.log10(of[s[at + 1]])
+        assert abs(found[i].score - score) < 2e-3, i
+    assert 6 < deepest < 19
+
+
 def test_string_kernel():
     from itertools import combinations
 
