@@ -1,18 +1,19 @@
 """Operator 2: toxicity by a support vector machine with a subsequence string kernel.
 
 The kernel of two strings counts common subsequences of ``order`` characters, each weighted
-down by the gaps it spans, so a string with inserted characters or an ending stays close to
-the one it hides. Nyström landmarks are word pieces that toxic documents hold far oftener
-than others. The machine learns from labelled documents as bags of sentences: every
-sentence of a clean document is clean, and a toxic one has a sentence that is not (the
-witness, chosen anew in each round). A sentence is as toxic as its worst word, a document as
-its worst sentence; a logistic curve turns that margin into a score.
-
-A run of single characters counts as one word, and long words are read through overlapping
-windows, so whole texts are scored. Models are fitted on a sample of labelled documents
-bounded by ``Settings``.
-
-Defined cases: null and empty texts hold no word and get the lowest margin of the training
+down by the gaps it spans, so a string with inserted characters, blanks or an ending stays
+close to the one it hides; a string shorter than ``order`` is compared by subsequences of its
+own length. Nyström landmarks are strings within words that toxic documents hold far oftener
+than others. The machine learns from labelled documents as bags of windows of sentences:
+every window of a clean document is clean, and a toxic one has a window that is not (the
+witness, chosen anew in each round). A sentence is as toxic as its worst window, a document
+as its worst sentence; a logistic curve turns that margin into a score.
+
+Sentences are read through overlapping windows that keep blanks, and a run of single
+characters also as one word, so whole texts are scored. Models are fitted on a sample of
+labelled documents bounded by ``Settings``.
+
+Defined cases: null and empty texts hold no sentence and get the lowest margin of the training
 sample; without labels of both classes every score is the share of toxic labels (0 without
 any); repeated rows are scored each.
 """
@@ -32,6 +33,7 @@ from reviewlens.session import stage
 
 WINDOW = 24
 _SPELLED = re.compile(rb"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
+_SENTENCE = re.compile(rb"(?<=[.!?])\s+|[\r\n]+|\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f")
 _ENDS = b".,;:!?\"'()[]{}<>*#$%&|_-=+/\\~`^"
 
 
@@ -57,25 +59,19 @@ def held_out(doc_id: Column) -> Column:
 
 
 def raw_units(text: bytes) -> set[bytes]:
-    """Words of a text, A-Z lowered, and its runs of three or more single characters, joined."""
+    """Sentences of a text, A-Z lowered, and its runs of three or more single characters, joined."""
     lowered = text.lower()
-    out = set(lowered.split())
+    out = {b" ".join(s.split()) for s in _SENTENCE.split(lowered)}
     for run in _SPELLED.findall(lowered):
         out.add(b"".join(run.split()))
-    return out
+    return out - {b""}
 
 
-def units(word: bytes) -> list[bytes]:
-    """What is compared of a word: itself without signs at its ends, and without any signs, in
-    windows when long."""
-    bare = word.strip(_ENDS)
-    plain = bare.translate(None, _ENDS)
+def units(sentence: bytes) -> list[bytes]:
+    """What is compared of a sentence: overlapping windows of it without signs."""
+    plain = b" ".join(sentence.translate(None, _ENDS).split()).decode("utf-8", "replace")
     half = WINDOW // 2
-    return [
-        part[at : at + WINDOW]
-        for part in ([bare] if plain == bare else [bare, plain])
-        for at in range(0, max(len(part) - half, 1), half)
-    ]
+    return [plain[at : at + WINDOW].encode() for at in range(0, max(len(plain) - half, 1), half)]
 
 
 def kernel(words: list[bytes], others: list[bytes], order: int, decay: float) -> np.ndarray:
@@ -88,17 +84,16 @@ def kernel(words: list[bytes], others: list[bytes], order: int, decay: float) ->
     for k, w in enumerate(texts):
         by_length.setdefault(len(w), []).append(k)
     targets = [_codes(other.decode("utf-8", "replace")) for other in others]
-    own = [_kernel_column(t[:, None].copy(), t, order, decay)[0] if len(t) >= order else 1.0 for t in targets]
+    orders = [max(min(order, len(t)), 1) for t in targets]
+    own = [_kernel_column(t[:, None].copy(), t, o, decay)[0] if len(t) else 1.0 for t, o in zip(targets, orders)]
     for n, at in by_length.items():
-        if n < order:
-            continue
         for low in range(0, len(at), 2048):
             chosen = at[low : low + 2048]
             s = _codes("".join([texts[k] for k in chosen])).reshape(len(chosen), n)
             s = np.ascontiguousarray(s.T)
             for j, t in enumerate(targets):
-                if len(t) >= order:
-                    out[chosen, j] = _kernel_column(s, t, order, decay) / own[j]
+                if 0 < len(t) and orders[j] <= n:
+                    out[chosen, j] = _kernel_column(s, t, orders[j], decay) / own[j]
     return out
 
 
@@ -189,16 +184,18 @@ def _logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def _pieces(text: bytes) -> set[bytes]:
+    """Strings of 2 to 10 characters within the words of a text."""
     out: set[bytes] = set()
-    for word in raw_units(text):
-        bare = word.strip(_ENDS).decode("utf-8", "replace")
-        for n in range(4, min(len(bare), 10) + 1):
-            out.add(bare[:n].encode())
+    words = {w for s in raw_units(text) for w in s.translate(None, _ENDS).split()}
+    for word in words:
+        plain = word.decode("utf-8", "replace")
+        for n in range(2, min(len(plain), 10) + 1):
+            out.update(plain[at : at + n].encode() for at in range(len(plain) - n + 1))
     return out
 
 
 def _counted_pieces(docs: DataFrame, only: set[bytes] | None) -> DataFrame:
-    """Documents that hold each word beginning of 4 to 10 characters, counted per partition first."""
+    """Documents that hold each string within a word of 2 to 10 characters, counted per partition first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[bytes, int] = {}
@@ -243,10 +240,10 @@ def choose_landmarks(toxic: DataFrame, clean: DataFrame, n_toxic: int, n_clean:
 
     marked = {p: n for p, n in of_toxic.items() if rates[p] >= 8 and gain(p) >= surprise}
     chosen: list[bytes] = []
-    # the longest piece that is still nearly as frequent stands for its beginnings
+    # the longest piece that is still nearly as frequent stands for its parts
     for piece in sorted(marked, key=lambda p: (-marked[p], -len(p), p)):
-        longer = [p for p in marked if p != piece and p.startswith(piece) and marked[p] >= 0.9 * marked[piece]]
-        if longer or any(piece.startswith(c) or c.startswith(piece) for c in chosen):
+        longer = [p for p in marked if p != piece and piece in p and marked[p] >= 0.9 * marked[piece]]
+        if longer or any(piece in c or c in piece for c in chosen):
             continue
         chosen.append(piece)
         if len(chosen) == settings.landmarks:
@@ -255,7 +252,7 @@ def choose_landmarks(toxic: DataFrame, clean: DataFrame, n_toxic: int, n_clean:
 
 
 def near_words(docs: DataFrame, landmarks: list[bytes], settings: Settings) -> list[bytes]:
-    """Word windows of ``docs`` that all but hold a landmark, by the documents that have them."""
+    """Windows of ``docs`` that all but hold a landmark, by the documents that have them."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, bool] = {}

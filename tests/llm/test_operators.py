@@ -495,6 +495,21 @@ def test_toxicity(spark):
     assert all(0 <= r.score <= 1 for r in found.values())
 
 
+def test_toxicity_of_several_words_and_short_strings():
+    from reviewlens.llm import toxicity
+
+    def nearest(text, landmark):
+        windows = [u for s in toxicity.raw_units(text.encode()) for u in toxicity.units(s)]
+        return toxicity.kernel(windows, [landmark.encode()], 4, 0.7).max()
+
+    plain = "these are quite ordinary words of some length"
+    assert nearest(f"{plain} you id iot and more. The end", "idiot") > 5 * nearest(f"{plain}. The end", "idiot")
+    assert nearest(f"{plain} you get lost now, please", "get lost") > 0.99
+    assert nearest(f"{plain} you kuf now", "kuf") > 0.99 > 0.5 > nearest(plain, "kuf")
+    assert nearest("你" * 40 + "笨蛋" + "好" * 40, "笨蛋") > 0.99
+    assert {"kuf", "笨蛋"} <= {p.decode() for p in toxicity._pieces("akufa 你笨蛋好".encode())}
+
+
 def test_quality_model(spark):
     from pyspark.sql import functions as F
 
