@@ -288,6 +288,15 @@ def sampled(labels: DataFrame, settings: Settings) -> tuple[DataFrame, int, int]
     return labels.filter(mark < int(share * (1 << 20))), counts["n"], counts["toxic"] or 0
 
 
+def near_copy_key(text: Column) -> Column:
+    """Four min-hashes of the runs of three words; the text's hash when it has none."""
+    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+    places = F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1)))
+    runs = F.transform(places, lambda i: F.xxhash64(F.slice(words, i, F.lit(3))))
+    least = [F.array_min(F.transform(runs, lambda h, k=k: F.xxhash64(h, F.lit(k)))) for k in range(4)]
+    return F.when(F.size(words) >= 3, F.array(*least)).otherwise(F.array(F.xxhash64(text)))
+
+
 def learn(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
     """From ``docs`` (doc_id, text) and their ``labels`` (doc_id, toxic: 0 or 1)."""
     model = Model(settings=settings)
@@ -298,12 +307,10 @@ def learn(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     asked = asked.withColumnRenamed("doc_id", "_labelled")
     # the sample is bounded, so it may be sent to the tasks that read the texts
     found = docs.join(F.broadcast(asked), F.col("doc_id") == F.col("_labelled"))
-    # near copies would make chance words of a text look frequent: one of those whose rarest
-    # long word (by hash) is the same
-    long_words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: F.length(w) >= 7)
-    key = F.array_min(F.transform(long_words, lambda w: F.xxhash64(w)))
+    # near copies would make chance words of a text look frequent
+    key = near_copy_key(F.col("text"))
     sample = stage(
-        found.select("doc_id", "text", "toxic", F.coalesce(key, F.xxhash64("text")).alias("key"))
+        found.select("doc_id", "text", "toxic", key.alias("key"))
         .dropDuplicates(["key", "toxic"])
         .drop("key"),
         "toxicity-sample",

@@ -510,6 +510,18 @@ def test_toxicity_of_several_words_and_short_strings():
     assert {"kuf", "笨蛋"} <= {p.decode() for p in toxicity._pieces("akufa 你笨蛋好".encode())}
 
 
+def test_texts_that_share_a_word_are_no_near_copies(spark):
+    from pyspark.sql import functions as F
+
+    from reviewlens.llm.toxicity import near_copy_key
+
+    shared = "extraordinary"
+    texts = [f"{shared} a{i} b{i} c{i} d{i} e{i}" for i in range(30)] + [None, "", "one two", "one three"]
+    docs = spark.createDataFrame(list(enumerate(texts + [texts[0], texts[0].upper()])), "doc_id bigint, text string")
+    keys = [tuple(r[0]) for r in docs.orderBy("doc_id").select(near_copy_key(F.col("text"))).collect()]
+    assert keys[-1] == keys[-2] == keys[0] and len(set(keys[:30])) == 30 and len(set(keys[30:34])) >= 3
+
+
 def test_quality_model(spark):
     from pyspark.sql import functions as F
 
