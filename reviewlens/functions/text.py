@@ -62,7 +62,7 @@ def tokens_full(content: Column) -> Column:
 
 
 def tokens_search(content: Column) -> Column:
-    """As the full mode, with the single characters of each CJK run as well."""
+    """As the full mode, with the single characters of each CJK run as well; repeated ones count."""
     return _tokens(content, single=True)
 
 
@@ -74,7 +74,7 @@ def _tokens(content: Column, single: bool) -> Column:
         )
         if single:
             singles = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(run, i, 1))
-            pairs = F.array_distinct(F.concat(singles, pairs))
+            pairs = F.when(n > 1, F.concat(singles, pairs)).otherwise(singles)
         return F.when(run.rlike(f"^[{CJK}]"), pairs).otherwise(F.array(run))
 
     runs = F.regexp_extract_all(content, F.lit(f"[{CJK}]+|{_WORD}"), F.lit(0))

@@ -48,6 +48,11 @@ def test_tokenisers(spark):
     assert row.s == ["手", "机", "很", "好", "用", "手机", "机很", "很好", "好用", "iPhone7", "好"]
 
 
+def test_search_tokens_keep_repeats(spark):
+    row = contents(spark, ["好好好 好"]).select(text.tokens_search(F.col("content")).alias("s")).first()
+    assert row.s == ["好", "好", "好", "好好", "好好", "好"]
+
+
 def test_dense_ids(spark):
     df = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("k")).repartition(7)
     rows = comments.dense_ids(df, ["k"], "n", start=1).orderBy("n").collect()
