@@ -47,7 +47,6 @@ _IDENTIFIER = (
 
 @dataclass(frozen=True)
 class Settings:
-    rounds: int = 3
     min_seeds: int = 3
     min_pattern: float = 0.7
     min_instance: float = 0.8
@@ -181,8 +180,12 @@ def learned_patterns(found: DataFrame, settings: Settings = Settings()) -> DataF
         "pii-edges",
     )
     known = edges.filter("seed is not null").groupBy("instance").agg(F.min("seed").alias("kind"))
-    scores = None
-    for _ in range(settings.rounds):
+
+    def sizes() -> list[tuple]:
+        return sorted(map(tuple, known.groupBy("kind").agg(F.count("*")).collect()))
+
+    before = sizes()
+    while True:
         totals = edges.groupBy("pattern").agg(F.count("*").alias("n"))
         hits = (
             edges.join(known, "instance")
@@ -208,7 +211,11 @@ def learned_patterns(found: DataFrame, settings: Settings = Settings()) -> DataF
             known.unionByName(reached).groupBy("instance").agg(F.min("kind").alias("kind")),
             "pii-known",
         )
-    return scores
+        # strings are only added and kinds only go down, so equal counts mean that nothing changed
+        now = sizes()
+        if now == before:
+            return scores
+        before = now
 
 
 def personal_data(

@@ -99,6 +99,22 @@ def test_contexts_discover_identifiers(spark):
     assert [(s.kind, texts[6][s.start : s.end]) for s in found._more] == [("ctx_ip", "h0st9988x")]
 
 
+def test_contexts_reach_along_a_chain(spark):
+    from reviewlens.llm import pii
+
+    # each context holds all strings that were learned before, enough of them only with the newest
+    known, new = [f"10.0.0.{i}" for i in range(45)], [f"h0st99{i:02}x" for i in range(10)]
+    texts = [f"some alpha at {x} today" for x in known + new]
+    known = new
+    names = {"beta": 2, "gamma": 2, "delta": 3, "omega": 3, "sigma": 4}
+    for name, n in names.items():
+        known = known + [f"{name}99{i:02}x" for i in range(n)]
+        texts += [f"some {name} at {x} today" for x in known]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    patterns = pii.learned_patterns(pii.matches(docs)).collect()
+    assert {r.pattern for r in patterns} == {f"{name} at" for name in ["alpha", *names]}
+
+
 def test_decontamination(spark, folder):
     windows = defaultdict(set)
     for item, text in [(r[0], r[1]) for r in cases.benchmark(spark).collect()]:
