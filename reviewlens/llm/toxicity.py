@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewlens.llm.native import let
 from reviewlens.session import stage
 
 WINDOW = 24
@@ -291,10 +292,16 @@ def sampled(labels: DataFrame, settings: Settings) -> tuple[DataFrame, int, int]
 def near_copy_key(text: Column) -> Column:
     """Four min-hashes of the runs of three words; the text's hash when it has none."""
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    places = F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1)))
-    runs = F.transform(places, lambda i: F.xxhash64(F.slice(words, i, F.lit(3))))
-    least = [F.array_min(F.transform(runs, lambda h, k=k: F.xxhash64(h, F.lit(k)))) for k in range(4)]
-    return F.when(F.size(words) >= 3, F.array(*least)).otherwise(F.array(F.xxhash64(text)))
+
+    def least(runs: Column) -> Column:
+        return F.array(*[F.array_min(F.transform(runs, lambda h, k=k: F.xxhash64(h, F.lit(k)))) for k in range(4)])
+
+    def key(ws: Column) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.size(ws) - 2, F.lit(1)))
+        runs = F.transform(places, lambda i: F.xxhash64(F.slice(ws, i, F.lit(3))))
+        return F.when(F.size(ws) >= 3, let(runs, least)).otherwise(F.array(F.xxhash64(text)))
+
+    return let(words, key)
 
 
 def learn(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
