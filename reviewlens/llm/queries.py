@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from reviewlens.llm import (
     decontaminate,
+    exact_search,
+    hard_negatives,
     jaccard_join,
     licenses,
     packing,
@@ -18,6 +20,7 @@ from reviewlens.llm import (
     toxicity,
 )
 from reviewlens.llm.native import table
+from reviewlens.llm.oracle import ORACLE  # noqa: F401
 from reviewlens.session import stage
 
 
@@ -101,6 +104,15 @@ def op4_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_search.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), moved)
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_toxicity": op2_toxicity,
@@ -112,5 +124,6 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_quality_rules": op9_quality_rules,
     "op10_license_scan": op10_license_scan,
+    "op11_exact_search": op11_exact_search,
+    "op12_hard_negatives": op12_hard_negatives,
 }
-ORACLE: dict[str, str] = {}
