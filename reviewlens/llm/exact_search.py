@@ -103,14 +103,13 @@ def top_k(
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row of ``embeddings`` (vec_id, embedding) whose
     id is divisible by ``every`` the ``k`` rows with the largest products."""
-    zero = F.lit(0).cast("long")
     vectors = one_of_each(
         embeddings.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(
             F.col("vec_id").cast("long").alias("id"),
-            zero.alias("label"),
+            F.lit(0).cast("long").alias("label"),
             scaled(F.col("embedding"), factor).alias("vector"),
         )
-    ).withColumn("group", zero)
+    ).withColumn("group", F.col("label"))
     queries = vectors.filter(F.col("id") % every == 0).drop("label")
 
     def work(asked: pa.Table, found: Iterator[Block]) -> pa.Table:
