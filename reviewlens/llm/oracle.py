@@ -47,7 +47,62 @@ ranked AS (
 SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 5
 """
 
+SOURCE_AUDIT = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS row, coalesce(text, '') AS text, coalesce(lang, '') AS lang,
+           coalesce(source, '') AS source
+    FROM documents
+),
+found AS MATERIALIZED (
+    SELECT row, lang, source, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM docs
+),
+kept AS MATERIALIZED (
+    SELECT lang, term FROM found GROUP BY lang, term HAVING count(DISTINCT row) >= 30
+),
+counts AS MATERIALIZED (
+    SELECT lang, source, term, count(*) AS n FROM found SEMI JOIN kept USING (lang, term) GROUP BY ALL
+),
+kinds AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+every AS MATERIALIZED (
+    SELECT g.lang, g.source, coalesce(sum(n), 0)::HUGEINT AS total
+    FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN counts USING (lang, source) GROUP BY ALL
+),
+shares AS MATERIALIZED (
+    SELECT e.lang, e.source, k.term, coalesce(n, 0) AS n,
+           1 + (1000000000::HUGEINT * (coalesce(n, 0) + 5)) // (total + 5 * v) AS p
+    FROM every e JOIN kept k USING (lang) JOIN kinds USING (lang)
+    LEFT JOIN counts c ON c.lang = e.lang AND c.source = e.source AND c.term = k.term
+),
+usual AS (
+    SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 5)) // (any_value(total) + 5 * any_value(v)) AS q
+    FROM counts JOIN (SELECT lang, sum(total)::HUGEINT AS total FROM every GROUP BY lang) USING (lang)
+    JOIN kinds USING (lang) GROUP BY lang, term
+),
+values_of AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(d.value, 0) AS value
+    FROM every a JOIN every b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN (
+        SELECT x.lang, x.source AS one, y.source AS other, sum(abs(x.p - y.p)) AS value
+        FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source
+        GROUP BY ALL
+    ) d ON d.lang = a.lang AND d.one = a.source AND d.other = b.source
+    UNION ALL
+    SELECT lang, source, 'term', term, p - q FROM shares JOIN usual USING (lang, term) WHERE n > 0 AND p > q
+),
+ranked AS (
+    SELECT lang, source, part, item, value::BIGINT AS value, row_number() OVER (
+        PARTITION BY lang, source, part ORDER BY value DESC, encode(item)
+    )::INTEGER AS rank
+    FROM values_of
+)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
 ORACLE: dict[str, str] = {
     "op11_exact_search": EXACT_SEARCH,
     "op12_hard_negatives": HARD_NEGATIVES,
+    "op13_source_audit": SOURCE_AUDIT,
 }

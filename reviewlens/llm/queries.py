@@ -15,6 +15,7 @@ from reviewlens.llm import (
     pii,
     quality_model,
     quality_rules,
+    source_audit,
     suffix_tree,
     token_files,
     toxicity,
@@ -113,6 +114,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), moved)
 
 
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_toxicity": op2_toxicity,
@@ -126,4 +131,5 @@ QUERIES = {
     "op10_license_scan": op10_license_scan,
     "op11_exact_search": op11_exact_search,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_source_audit": op13_source_audit,
 }
