@@ -59,3 +59,19 @@ def benchmark(spark):
     items = [(1, " ".join(words[10:40])), (2, "Word"), (3, None), (4, " ,. "), (None, " ".join(words[50:64]))]
     items += [(5, " ".join(words[20:33])), (5, " ".join(words[20:33])), (6, "general public")]
     return spark.createDataFrame(items, "item_id bigint, text string")
+
+
+def embeddings(spark, n=260, width=12):
+    """Vectors with nulls and odd numbers in them, ties, copies, other lengths and clashing columns."""
+    rng = random.Random(7)
+    made = [[rng.gauss(0, 1) for _ in range(width)] for _ in range(n)]
+    rows = [(i, v, i % 5, "x", 1) for i, v in enumerate(made)]
+    rows += [(n + i, made[20], 1, "x", 1) for i in range(40)]
+    rows += [(20, made[20], 0, "x", 1), (None, made[3], 1, "x", 1), (100, [1e3] * width, 3, "y", 2)]
+    rows += [(400, None, 1, "x", 1), (420, [0.5, None], 1, "x", 1), (440, [float("nan")] * 3, 1, "x", 1)]
+    rows += [(460, [float("-inf"), 1.0], 1, "x", 1), (480, [], 2, "x", 1), (500, [0.0] * width, 2, "x", 1)]
+    rows += [(520, made[5][:4], 3, "x", 1), (540, made[9] + [2.0, -3.0], 4, "x", 1), (600, made[8], None, "x", 1)]
+    rows += [(-100, made[40], 3, "x", 1), (700, [-x for x in made[0]], 0, "x", 1)]
+    return spark.createDataFrame(
+        rows, "vec_id bigint, embedding array<float>, label int, id string, rank int"
+    ).repartition(3)

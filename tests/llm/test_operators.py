@@ -29,6 +29,7 @@ def folder(spark):
         documents=cases.documents(spark),
         labels=cases.labels(spark),
         benchmark=cases.benchmark(spark),
+        embeddings=cases.embeddings(spark),
     )
 
 
@@ -40,6 +41,7 @@ def empty(spark):
         documents=cases.documents(spark).limit(0),
         labels=cases.labels(spark).limit(0),
         benchmark=cases.benchmark(spark).limit(0),
+        embeddings=cases.embeddings(spark).limit(0),
     )
 
 
