@@ -3,15 +3,21 @@
 The kernel of two strings counts common subsequences of ``order`` characters, each weighted
 down by the gaps it spans, so a string with inserted characters, blanks or an ending stays
 close to the one it hides; a string shorter than ``order`` is compared by subsequences of its
-own length. Nyström landmarks are strings within words that toxic documents hold far oftener
-than others. The machine learns from labelled documents as bags of windows of sentences:
-every window of a clean document is clean, and a toxic one has a window that is not (the
-witness, chosen anew in each round). A sentence is as toxic as its worst window, a document
-as its worst sentence; a logistic curve turns that margin into a score.
-
-Sentences are read through overlapping windows that keep blanks, and a run of single
-characters also as one word, so whole texts are scored. Models are fitted on a sample of
-labelled documents bounded by ``Settings``.
+own length. Strings that toxic documents hold far oftener than others are the seeds of the
+Nyström landmarks. The commonest windows of labelled documents near such a seed, of either
+class, are landmarks too. The machine learns from all these windows: one is toxic if toxic documents
+hold it far oftener, and so is each with a character put into it (a virtual example), unless
+clean documents hold that string too.
+
+A sentence is read through windows that can hold a landmark: each word without its signs, in
+overlapping parts if it is long; runs of single characters, joined; and two neighbouring words
+with their blank, where a landmark may reach across it, as the first ends with its beginning and
+the second begins with the rest. A document is as toxic as its worst window. A logistic curve turns the margin into a
+score; it passes ``cut_score`` where labelled documents are told apart best.
+
+A window is compared with the landmarks with which it shares three pairs of neighbouring
+characters; others count as unlike. Each window is read once for as long as a task remembers it. Models are fitted on a
+sample of labelled documents bounded by ``Settings``.
 
 Defined cases: null and empty texts hold no sentence and get the lowest margin of the training
 sample; without labels of both classes every score is the share of toxic labels (0 without
@@ -20,7 +26,6 @@ any); repeated rows are scored each.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -33,9 +38,8 @@ from reviewlens.llm.native import let
 from reviewlens.session import stage
 
 WINDOW = 24
-_SPELLED = re.compile(rb"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
-_SENTENCE = re.compile(rb"(?<=[.!?])\s+|[\r\n]+|\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f")
 _ENDS = b".,;:!?\"'()[]{}<>*#$%&|_-=+/\\~`^"
+_SENTENCE_ENDS = (b".", b"!", b"?", b"\xe3\x80\x82", b"\xef\xbc\x81", b"\xef\xbc\x9f")
 
 
 @dataclass(frozen=True)
@@ -43,58 +47,106 @@ class Settings:
     order: int = 4
     decay: float = 0.7
     #: The kernel is raised to this power, which keeps it one and sharpens it.
-    power: int = 2
-    landmarks: int = 32
-    #: Bounds of the samples: labelled documents read, and documents of a class fitted on.
+    power: int = 4
+    seeds: int = 32
+    landmarks: int = 128
+    #: Bound of the sample of labelled documents that are read to learn.
     sample_documents: int = 20_000
-    bag_documents: int = 400
-    rounds: int = 3
-    #: Words near a landmark that are learned from, for each class, the commonest first.
-    near_words: int = 4000
-    near: float = 0.8
-    cache_words: int = 600_000
+    #: Strings that are tried as landmarks and windows that are learned from, the commonest first.
+    tried_strings: int = 50_000
+    near_windows: int = 8000
+    near: float = 0.7
+    #: How much oftener toxic documents hold a landmark: of up to three characters, and longer.
+    short_rate: float = 60
+    long_rate: float = 8
+    #: And a window that counts as toxic.
+    toxic_rate: float = 20
+    cut_score: float = 0.7
+    cache_words: int = 500_000
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def raw_units(text: bytes) -> set[bytes]:
-    """Sentences of a text, A-Z lowered, and its runs of three or more single characters, joined."""
-    lowered = text.lower()
-    out = {b" ".join(s.split()) for s in _SENTENCE.split(lowered)}
-    for run in _SPELLED.findall(lowered):
-        out.add(b"".join(run.split()))
-    return out - {b""}
+def plain(word: bytes) -> str:
+    return word.translate(None, _ENDS).decode("utf-8", "replace")
+
 
+def windows_of(word: str) -> list[str]:
+    """The word between its blanks, or overlapping parts of a long one."""
+    word, half = f" {word} ", WINDOW // 2
+    return [word[at : at + WINDOW] for at in range(0, max(len(word) - half, 1), half)]
 
-def units(sentence: bytes) -> list[bytes]:
-    """What is compared of a sentence: overlapping windows of it without signs."""
-    plain = b" ".join(sentence.translate(None, _ENDS).split()).decode("utf-8", "replace")
-    half = WINDOW // 2
-    return [plain[at : at + WINDOW].encode() for at in range(0, max(len(plain) - half, 1), half)]
+
+def spelled(words: list[bytes]) -> list[str]:
+    """Runs of three or more single characters, joined."""
+    out, run = [], []
+    for word in [*map(plain, words), ""]:
+        if len(word) == 1:
+            run.append(word)
+            continue
+        if len(run) > 2:
+            out.append("".join(run))
+        run = []
+    return out
 
 
-def kernel(words: list[bytes], others: list[bytes], order: int, decay: float) -> np.ndarray:
+def kernel(words: list[str], others: list[str], order: int, decay: float) -> np.ndarray:
     """Gap-weighted subsequence kernel of all ``words`` with all ``others``, for words of one
     length at a time. Divided by the value of ``others`` with themselves, so a word that holds
     the other string unbroken gets 1 or a little more."""
     out = np.zeros((len(words), len(others)), np.float32)
-    texts = [w.decode("utf-8", "replace") for w in words]
     by_length: dict[int, list[int]] = {}
-    for k, w in enumerate(texts):
+    for k, w in enumerate(words):
         by_length.setdefault(len(w), []).append(k)
-    targets = [_codes(other.decode("utf-8", "replace")) for other in others]
+    targets = [_codes(other) for other in others]
     orders = [max(min(order, len(t)), 1) for t in targets]
     own = [_kernel_column(t[:, None].copy(), t, o, decay)[0] if len(t) else 1.0 for t, o in zip(targets, orders)]
+    seeds = _pairs_table(targets)
     for n, at in by_length.items():
-        for low in range(0, len(at), 2048):
-            chosen = at[low : low + 2048]
-            s = _codes("".join([texts[k] for k in chosen])).reshape(len(chosen), n)
+        for low in range(0, len(at) if n else 0, 4096):
+            chosen = np.array(at[low : low + 4096])
+            s = _codes("".join([words[k] for k in chosen])).reshape(len(chosen), n)
             s = np.ascontiguousarray(s.T)
+            close = _sharing(s, seeds, targets)
             for j, t in enumerate(targets):
                 if 0 < len(t) and orders[j] <= n:
-                    out[chosen, j] = _kernel_column(s, t, orders[j], decay) / own[j]
+                    hit = np.flatnonzero(close[:, j // 64] >> np.uint64(j % 64) & np.uint64(1))
+                    if len(hit):
+                        out[chosen[hit], j] = _kernel_column(s[:, hit], t, orders[j], decay) / own[j]
+    return out
+
+
+_PAIRS = 1 << 14
+
+
+def _pair_codes(s: np.ndarray) -> np.ndarray:
+    return (s[:-1].astype(np.int64) * 1009 + s[1:]) % _PAIRS
+
+
+def _pairs_table(targets: list[np.ndarray]) -> np.ndarray:
+    """For each pair of neighbouring characters the targets that have it, as bits."""
+    out = np.zeros((_PAIRS, len(targets) // 64 + 1), np.uint64)
+    for j, t in enumerate(targets):
+        out[_pair_codes(t), j // 64] |= np.uint64(1 << j % 64)
+    return out
+
+
+def _sharing(s: np.ndarray, seeds: np.ndarray, targets: list[np.ndarray]) -> np.ndarray:
+    """For each column the targets that share three pairs of neighbours with it, or all of theirs
+    if they have fewer."""
+    counts = [np.zeros((s.shape[1], seeds.shape[1]), np.uint64) for _ in range(3)]
+    for codes in _pair_codes(s):
+        bits = seeds[codes]
+        for more, fewer in ((2, 1), (1, 0)):
+            counts[more] |= counts[fewer] & bits
+        counts[0] |= bits
+    out = counts[2]
+    for j, t in enumerate(targets):
+        if len(t) < 4:
+            bit = np.uint64(1 << j % 64)
+            out[:, j // 64] |= counts[len(t) - 2][:, j // 64] & bit if len(t) > 1 else bit
     return out
 
 
@@ -124,7 +176,7 @@ def _kernel_column(s: np.ndarray, t: np.ndarray, order: int, decay: float) -> np
 
 @dataclass
 class Model:
-    landmarks: list[bytes] = field(default_factory=list)
+    landmarks: list[str] = field(default_factory=list)
     weights: np.ndarray | None = None
     bias: float = 0.0
     slope: float = 0.0
@@ -133,9 +185,9 @@ class Model:
     constant: float | None = None
     settings: Settings = Settings()
 
-    def margins(self, words: list[bytes]) -> np.ndarray:
+    def margins(self, words: list[str]) -> np.ndarray:
         """Margin of each word: that of its worst window."""
-        windows = [units(w) for w in words]
+        windows = [windows_of(w) for w in words]
         flat = [u for us in windows for u in us]
         if not flat:
             return np.empty(0)
@@ -149,14 +201,81 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -30, 30)))
 
 
-def _fit(x: np.ndarray, y: np.ndarray, cost: float = 10.0, steps: int = 400) -> tuple[np.ndarray, float]:
+class Reader:
+    """Margins of texts; remembers the words it has met."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        #: A bit for each place where a landmark can be cut in two.
+        inner = [l.strip() for l in model.landmarks]
+        cuts = list(dict.fromkeys((l[:k], l[k:]) for l in inner for k in range(2, len(l) - 1)))
+        self.heads: dict[str, list[int]] = {}
+        self.tails: dict[str, list[int]] = {}
+        for bit, (head, tail) in enumerate(cuts):
+            self.heads.setdefault(head, []).append(bit)
+            self.tails.setdefault(tail, []).append(bit)
+        self.head_ends, self.tail_starts = {h[-2:] for h in self.heads}, {t[:2] for t in self.tails}
+        self.longest = max(map(len, inner), default=0)
+        self.width = len(cuts) // 64 + 1
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.margin = np.empty(0)
+        self.single = np.empty(0, bool)
+        self.ending = np.empty((0, self.width), np.uint64)
+        self.beginning = np.empty((0, self.width), np.uint64)
+
+    def _bits(self, words: list[str], last: bool) -> np.ndarray:
+        """The cuts whose head a word ends with, or whose tail it begins with."""
+        out = np.zeros((len(words), self.width), np.uint64)
+        of, ends = (self.heads, self.head_ends) if last else (self.tails, self.tail_starts)
+        for row, word in enumerate(words):
+            if (word[-2:] if last else word[:2]) in ends:
+                for n in range(2, min(len(word), self.longest) + 1):
+                    for bit in of.get(word[-n:] if last else word[:n], ()):
+                        out[row, bit // 64] |= np.uint64(1 << bit % 64)
+        return out
+
+    def learn(self, texts: list[list[bytes]]) -> None:
+        new = set().union(*texts) - self.known.keys()
+        if len(self.known) + len(new) > self.model.settings.cache_words:
+            self.forget()
+            new = set().union(*texts)
+        if not new:
+            return
+        words = [plain(w) for w in new]
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+        ends = [w if not raw.endswith(_SENTENCE_ENDS) else "" for raw, w in zip(new, words)]
+        self.margin = np.append(self.margin, self.model.margins(words))
+        self.single = np.append(self.single, [len(w) == 1 for w in words])
+        self.ending = np.concatenate([self.ending, self._bits(ends, True)])
+        self.beginning = np.concatenate([self.beginning, self._bits(words, False)])
+
+    def worst(self, texts: list[list[bytes]]) -> list[float]:
+        """The highest margin in each text, given as its words."""
+        self.learn(texts)
+        out, more = [], []
+        for words in texts:
+            ids = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            out.append(float(self.margin[ids].max()) if words else self.model.lowest)
+            one = self.single[ids]
+            joined = spelled(words) if (one[2:] & one[1:-1] & one[:-2]).any() else []
+            across = (self.ending[ids[:-1]] & self.beginning[ids[1:]]).any(axis=1)
+            more.append(joined + [f"{plain(words[k])} {plain(words[k + 1])}" for k in np.flatnonzero(across)])
+        new = list({w for found in more for w in found})
+        margin = dict(zip(new, self.model.margins(new).tolist()))
+        return [max([m, *[margin[w] for w in found]]) for m, found in zip(out, more)]
+
+
+def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 10.0) -> tuple[np.ndarray, float]:
     """A linear machine with squared hinge loss and classes of equal weight, by Newton steps."""
     z = np.hstack([x, np.ones((len(x), 1))])
-    share = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)) * cost * 100
+    share = np.where(y > 0, weight / weight[y > 0].sum(), weight / weight[y < 0].sum()) * cost * 100
     w = np.zeros(z.shape[1])
     keep = np.eye(z.shape[1])
     keep[-1, -1] = 1e-6
-    for _ in range(min(steps, 30)):
+    for _ in range(30):
         slack = 1 - y * (z @ w)
         active = slack > 0
         za, sa = z[active], share[active]
@@ -168,31 +287,29 @@ def _fit(x: np.ndarray, y: np.ndarray, cost: float = 10.0, steps: int = 400) ->
     return w[:-1], float(w[-1])
 
 
-def _logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the class odds, with smoothed targets."""
-    good, bad = (y > 0).sum(), (y <= 0).sum()
-    target = np.where(y > 0, (good + 1) / (good + 2), 1 / (bad + 2))
-    z = np.column_stack([margin, np.ones(len(margin))])
-    w = np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        h = (z * (p * (1 - p) + 1e-6)[:, None]).T @ z + 1e-6 * np.eye(2)
-        step = np.linalg.solve(h, z.T @ (p - target))
-        w = w - np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
-            break
-    return float(w[0]), float(w[1])
+def _curve(margin: np.ndarray, toxic: np.ndarray, score: float) -> tuple[float, float]:
+    """Slope and offset of a logistic curve that passes ``score`` at the margin from which documents
+    count as toxic: of all margins whose share of toxic documents found, less six times the share
+    of others, is about the best, the lowest, so that changed strings still pass."""
+    cuts = np.unique(margin)
+    found = [1 - np.searchsorted(np.sort(margin[toxic == y]), cuts) / max((toxic == y).sum(), 1) for y in (1, 0)]
+    gain = found[0] - 6 * found[1]
+    best = int(np.flatnonzero(gain >= gain.max() - 0.005)[0])
+    # between this margin and the one below it
+    cut = (cuts[best] + cuts[best - 1]) / 2 if best else cuts[0]
+    spread = np.median(margin[margin >= cut]) - np.median(margin[margin < cut]) if best else 1.0
+    slope = 4 / max(float(spread), 1e-3)
+    return slope, float(np.log(score / (1 - score)) - slope * cut)
 
 
 def _pieces(text: bytes) -> set[bytes]:
-    """Strings of 2 to 10 characters within the words of a text."""
+    """Strings of 2 to 10 characters of the words of a text and the blanks around them."""
     out: set[bytes] = set()
-    words = {w for s in raw_units(text) for w in s.translate(None, _ENDS).split()}
-    for word in words:
-        plain = word.decode("utf-8", "replace")
-        for n in range(2, min(len(plain), 10) + 1):
-            out.update(plain[at : at + n].encode() for at in range(len(plain) - n + 1))
-    return out
+    for word in {plain(w) for w in text.lower().split()}:
+        word = f" {word} "
+        for n in range(2, min(len(word), 10) + 1):
+            out.update(word[at : at + n].encode() for at in range(len(word) - n + 1))
+    return {p for p in out if len(p.strip()) > 1}
 
 
 def _counted_pieces(docs: DataFrame, only: set[bytes] | None) -> DataFrame:
@@ -215,13 +332,13 @@ def _counted_pieces(docs: DataFrame, only: set[bytes] | None) -> DataFrame:
     )
 
 
-def choose_landmarks(toxic: DataFrame, clean: DataFrame, n_toxic: int, n_clean: int, settings: Settings) -> list[bytes]:
+def choose_landmarks(toxic: DataFrame, clean: DataFrame, n_toxic: int, n_clean: int, settings: Settings) -> list[str]:
     least = max(3, n_toxic // 500)
     often = (
         _counted_pieces(toxic, None)
         .filter(F.col("n") >= least)
         .orderBy(F.desc("n"), "piece")
-        .limit(50_000)
+        .limit(settings.tried_strings)
         .collect()
     )
     of_toxic = {bytes(r["piece"]): r["n"] for r in often}
@@ -239,45 +356,73 @@ def choose_landmarks(toxic: DataFrame, clean: DataFrame, n_toxic: int, n_clean:
         other = b * np.log(b / ((a + b) * (1 - prior))) if b else 0.0
         return 2 * (a * np.log(a / ((a + b) * prior)) + other)
 
-    marked = {p: n for p, n in of_toxic.items() if rates[p] >= 8 and gain(p) >= surprise}
+    def rate(p: bytes) -> float:
+        return settings.short_rate if len(p.decode("utf-8", "replace")) < 4 else settings.long_rate
+
+    marked = {p: n for p, n in of_toxic.items() if rates[p] >= rate(p) and gain(p) >= surprise}
+    # the strings that hold a marked one, found through all parts of each
+    around: dict[bytes, list[bytes]] = {}
+    for p in marked:
+        parts = {p[a:b] for a in range(len(p)) for b in range(a + 1, len(p) + 1)} - {p}
+        for part in parts & marked.keys():
+            around.setdefault(part, []).append(p)
     chosen: list[bytes] = []
     # the longest piece that is still nearly as frequent stands for its parts
     for piece in sorted(marked, key=lambda p: (-marked[p], -len(p), p)):
-        longer = [p for p in marked if p != piece and piece in p and marked[p] >= 0.9 * marked[piece]]
+        longer = [p for p in around.get(piece, []) if marked[p] >= 0.9 * marked[piece]]
         if longer or any(piece in c or c in piece for c in chosen):
             continue
         chosen.append(piece)
-        if len(chosen) == settings.landmarks:
+        if len(chosen) == settings.seeds:
             break
-    return chosen
+    return [c.decode("utf-8", "replace") for c in chosen]
 
 
-def near_words(docs: DataFrame, landmarks: list[bytes], settings: Settings) -> list[bytes]:
-    """Windows of ``docs`` that all but hold a landmark, by the documents that have them."""
+def near_windows(docs: DataFrame, landmarks: list[str], settings: Settings) -> DataFrame:
+    """``window, toxic, n``: windows of ``docs`` (text, toxic) near a landmark, with the documents
+    of each class that have them, counted per partition first."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, bool] = {}
-        counts: dict[bytes, int] = {}
+        near: dict[bytes, set[str]] = {}
+        counts: dict[tuple[str, int], int] = {}
         for batch in batches:
+            toxic = batch.column(1).to_pylist()
             for low in range(0, batch.num_rows, 500):
                 texts = batch.column(0).slice(low, 500).cast(pa.binary())
-                found = [{u for w in raw_units(t.as_py() or b"") for u in units(w)} for t in texts]
-                new = [u for u in set().union(*found) if u not in seen]
-                if new:
-                    at = kernel(new, landmarks, settings.order, settings.decay).max(axis=1)
-                    seen.update(zip(new, (at >= settings.near).tolist()))
-                for words in found:
-                    for word in words:
-                        if seen[word]:
-                            counts[word] = counts.get(word, 0) + 1
+                found = [set((t.as_py() or b"").lower().split()) for t in texts]
+                new = list(set().union(*found) - near.keys())
+                cut = [windows_of(plain(w)) for w in new]
+                flat = list({u for us in cut for u in us})
+                if flat:
+                    at = kernel(flat, landmarks, settings.order, settings.decay).max(axis=1)
+                    close = {u for u, k in zip(flat, at) if k >= settings.near}
+                    near.update((w, close.intersection(us)) for w, us in zip(new, cut))
+                for row, words in enumerate(found):
+                    for window in set().union(*[near[w] for w in words]):
+                        key = window, toxic[low + row]
+                        counts[key] = counts.get(key, 0) + 1
         yield pa.RecordBatch.from_arrays(
-            [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())],
-            names=["word", "n"],
+            [
+                pa.array([w for w, _ in counts], pa.string()),
+                pa.array([t for _, t in counts], pa.int32()),
+                pa.array(list(counts.values()), pa.int64()),
+            ],
+            names=["window", "toxic", "n"],
         )
 
-    found = docs.select("text").mapInArrow(find, "word binary, n long").groupBy("word")
-    rows = found.agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(settings.near_words)
-    return [bytes(r["word"]) for r in rows.collect()]
+    found = docs.select("text", F.col("toxic").cast("int").alias("toxic"))
+    return (
+        found.mapInArrow(find, "window string, toxic int, n long")
+        .groupBy("window")
+        .agg(*[F.sum(F.when(F.col("toxic") == y, F.col("n")).otherwise(0)).alias(n) for y, n in ((1, "bad"), (0, "good"))])
+        .orderBy(F.desc(F.col("bad") + F.col("good")), "window")
+        .limit(settings.near_windows)
+    )
+
+
+def with_insertions(window: str) -> list[str]:
+    """The window with a character or a blank between two of its own, not beside its blanks."""
+    return [window[:k] + c + window[k:] for k in range(2, len(window) - 1) for c in "xo1 "]
 
 
 def sampled(labels: DataFrame, settings: Settings) -> tuple[DataFrame, int, int]:
@@ -290,16 +435,17 @@ def sampled(labels: DataFrame, settings: Settings) -> tuple[DataFrame, int, int]
 
 
 def near_copy_key(text: Column) -> Column:
-    """Four min-hashes of the runs of three words; the text's hash when it has none."""
+    """Four min-hashes of the runs of five words; the text's hash when it has none."""
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
 
     def least(runs: Column) -> Column:
         return F.array(*[F.array_min(F.transform(runs, lambda h, k=k: F.xxhash64(h, F.lit(k)))) for k in range(4)])
 
     def key(ws: Column) -> Column:
-        places = F.sequence(F.lit(1), F.greatest(F.size(ws) - 2, F.lit(1)))
-        runs = F.transform(places, lambda i: F.xxhash64(F.slice(ws, i, F.lit(3))))
-        return F.when(F.size(ws) >= 3, let(runs, least)).otherwise(F.array(F.xxhash64(text)))
+        places = F.sequence(F.lit(1), F.greatest(F.size(ws) - 4, F.lit(1)))
+        runs = F.transform(places, lambda i: F.xxhash64(F.slice(ws, i, F.lit(5))))
+        alone = F.array(*[F.xxhash64(text, F.lit(k)) for k in range(4)])
+        return F.when(F.size(ws) >= 5, let(runs, least)).otherwise(alone)
 
     return let(words, key)
 
@@ -314,14 +460,12 @@ def learn(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     asked = asked.withColumnRenamed("doc_id", "_labelled")
     # the sample is bounded, so it may be sent to the tasks that read the texts
     found = docs.join(F.broadcast(asked), F.col("doc_id") == F.col("_labelled"))
-    # near copies would make chance words of a text look frequent
-    key = near_copy_key(F.col("text"))
-    sample = stage(
-        found.select("doc_id", "text", "toxic", key.alias("key"))
-        .dropDuplicates(["key", "toxic"])
-        .drop("key"),
-        "toxicity-sample",
-    )
+    # near copies would make chance words of a text look frequent; texts are seldom alike in 4 of
+    # 5 runs of words and differ in all four of the least hashes
+    keyed = found.select("doc_id", "text", "toxic", near_copy_key(F.col("text")).alias("key"))
+    for k in range(4):
+        keyed = keyed.withColumn("one", F.get("key", F.lit(k))).dropDuplicates(["one", "toxic"])
+    sample = stage(keyed.drop("key", "one"), "toxicity-sample")
     share_toxic = n_toxic / n
     toxic, clean = sample.filter("toxic = 1"), sample.filter("toxic = 0")
     n_toxic, n_clean = toxic.count(), clean.count()
@@ -329,46 +473,40 @@ def learn(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     if not model.landmarks or not n_clean:
         model.landmarks, model.constant = [], share_toxic
         return model
-    order = F.xxhash64(F.col("doc_id").cast("string"), F.lit(13))
-    bags = [
-        [
-            {u for w in raw_units((r["text"] or "").encode()) for u in units(w)}
-            for r in part.orderBy(order).limit(settings.bag_documents).collect()
-        ]
-        for part in (toxic, clean)
-    ]
-    marked, unmarked = (set(near_words(part, model.landmarks, settings)) for part in (toxic, clean))
-    words = sorted(set().union(*bags[0], *bags[1], marked, unmarked))
-    place = {w: k for k, w in enumerate(words)}
+    near = near_windows(sample, model.landmarks, settings).collect()
+    n_bad, n_good = max(n_toxic, 1), max(n_clean, 1)
+    bad = {r["window"] for r in near if r["bad"] / n_bad >= settings.toxic_rate * (r["good"] + 0.5) / n_good}
+    good = {r["window"] for r in near} - bad
+    # the seeds only led here; whole windows tell their neighbours apart
+    half = settings.landmarks // 2
+    often = [[r["window"] for r in near if r["window"] in side and r["bad"] + r["good"] > 1] for side in (bad, good)]
+    model.landmarks = often[0][:half] + often[1][:half] or model.landmarks
+    # a window counts as often as documents of its class have it, its changed forms together half
+    weight = {r["window"]: float(r["bad"] if r["window"] in bad else r["good"]) for r in near}
+    for window in sorted(bad):
+        changed = with_insertions(window)
+        for form in changed:
+            weight.setdefault(form, weight[window] / (2 * len(changed)))
+    bad = set(weight) - good
+    words = sorted(bad | good)
+    if not bad:
+        model.landmarks, model.constant = [], share_toxic
+        return model
+    if not good:
+        words.append("")
+    y = np.array([1.0 if w in bad else -1.0 for w in words])
     gram = kernel(model.landmarks, model.landmarks, settings.order, settings.decay).astype(float)
     gram = ((gram + gram.T) / 2) ** settings.power
     values, vectors = np.linalg.eigh(gram)
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6 * values.max()))) @ vectors.T
     x = kernel(words, model.landmarks, settings.order, settings.decay).astype(float)
     x = x**settings.power @ root
-    bad = [np.array([place[w] for w in bag]) for bag in bags[0] if bag]
-    clean_words = set().union(unmarked, *bags[1])
-    good = np.array(sorted(place[w] for w in clean_words), int)
-    sure = np.array(sorted(place[w] for w in marked - clean_words), int)
-    margin = np.linalg.norm(x, axis=1)
-    for _ in range(settings.rounds):
-        witness = np.array([bag[np.argmax(margin[bag])] for bag in bad], int)
-        witness = np.unique(np.concatenate([witness, sure]))
-        witness = np.setdiff1d(witness, good)
-        if not len(witness) or not len(good):
-            break
-        rows = np.concatenate([witness, good])
-        y = np.append(np.ones(len(witness)), -np.ones(len(good)))
-        w, model.bias = _fit(x[rows], y)
-        model.weights = (root @ w).astype(np.float32)
-        margin = x @ w + model.bias
-    if model.weights is None:
-        model.constant = share_toxic
-        return model
-    model.lowest = float(margin.min())
+    w, model.bias = _fit(x, y, np.array([weight.get(window, 1.0) for window in words]))
+    model.weights = (root @ w).astype(np.float32)
+    model.lowest = float(min((x @ w + model.bias).min(), model.bias))
     seen = scored(sample.select("doc_id", "text", "toxic"), model, ["toxic"]).select("margin", "toxic").toArrow()
-    model.slope, model.offset = _logistic(
-        seen.column("margin").to_numpy(), seen.column("toxic").to_numpy().astype(float)
+    model.slope, model.offset = _curve(
+        seen.column("margin").to_numpy(), seen.column("toxic").to_numpy(), settings.cut_score
     )
     return model
 
@@ -378,23 +516,15 @@ def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     schema = docs.select(*keep).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, float] = {}
+        reader = Reader(model)
         for batch in batches:
             for low in range(0, batch.num_rows, 1000):
                 part = batch.slice(low, 1000)
-                found = [
-                    raw_units(t.as_py() or b"") if model.constant is None else set()
+                texts = [
+                    (t.as_py() or b"").lower().split() if model.constant is None else []
                     for t in part.column(len(keep)).cast(pa.binary())
                 ]
-                new = [w for w in set().union(*found) if w not in known]
-                if new:
-                    if len(known) + len(new) > model.settings.cache_words:
-                        known.clear()
-                        new = list(set().union(*found))
-                    known.update(zip(new, model.margins(new).tolist()))
-                margin = np.array(
-                    [max(map(known.__getitem__, f), default=model.lowest) for f in found], float
-                )
+                margin = np.array(reader.worst(texts), float)
                 yield pa.RecordBatch.from_arrays(
                     [*[part.column(k) for k in range(len(keep))], pa.array(margin), pa.array(model.score(margin))],
                     names=[*keep, "margin", "score"],

@@ -477,13 +477,18 @@ def test_string_kernel():
             out["".join(s[i] for i in places)] += decay ** (places[-1] - places[0] + 1)
         return out
 
-    words = ["idiot", "i-d.iot", "tidy", "idé", "aaaa", ""]
+    def pairs(s):
+        return [s[k : k + 2] for k in range(len(s) - 1)]
+
+    words = ["idiot", "idxiot", "i-diot", "idi-ot", "tidiotic", "tidy", "idé", "aaaa", ""]
     for order in (2, 3):
-        found = kernel([w.encode() for w in words], [b"idiot"], order, 0.6)
+        found = kernel(words, ["idiot"], order, 0.6)
         of = weights("idiot", order, 0.6)
         own = sum(v * v for v in of.values())
         for k, w in enumerate(words):
-            wanted = sum(v * of[u] for u, v in weights(w, order, 0.6).items()) / own
+            # others count as unlike
+            near = sum(p in pairs("idiot") for p in pairs(w)) >= 3
+            wanted = near * sum(v * of[u] for u, v in weights(w, order, 0.6).items()) / own
             assert abs(found[k, 0] - wanted) < 1e-5
 
 
@@ -503,29 +508,52 @@ def test_toxicity(spark):
 
     from reviewlens.llm import toxicity
 
-    docs = spark.createDataFrame(_toxic_rows() + [(9000, "you id-i-ot"), (9001, None), (9002, "you idxiot"), (None, "")], "doc_id bigint, text string")
+    docs = spark.createDataFrame(_toxic_rows() + [(9000, "you id-i-ot"), (9001, None), (9002, "you idxiot"), (9003, "you id iot"), (None, "")], "doc_id bigint, text string")
     labels = docs.filter("doc_id < 9000").select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic"))
     found = {r.doc_id: r for r in toxicity.score_documents(docs, labels).collect()}
     held = [r for r in found.values() if r.held_out and r.doc_id is not None and r.doc_id < 9000]
     right = sum((r.score >= 0.7) == (r.doc_id % 4 == 0) for r in held)
     assert right >= 0.97 * len(held) and found[9000].score > 0.5 > found[9001].score
-    assert found[9002].score > 2 * found[9001].score
+    assert found[9002].score > 2 * found[9001].score and found[9003].score > found[9001].score
     assert all(0 <= r.score <= 1 for r in found.values())
 
 
-def test_toxicity_of_several_words_and_short_strings():
+def test_windows_of_sentences():
     from reviewlens.llm import toxicity
 
-    def nearest(text, landmark):
-        windows = [u for s in toxicity.raw_units(text.encode()) for u in toxicity.units(s)]
-        return toxicity.kernel(windows, [landmark.encode()], 4, 0.7).max()
+    model = toxicity.Model([" idiot ", " kuf ", "笨蛋"], np.ones(3, np.float32), -0.5)
+    reader = toxicity.Reader(model)
+
+    def worst(text):
+        return reader.worst([text.encode().lower().split()])[0]
 
     plain = "these are quite ordinary words of some length"
-    assert nearest(f"{plain} you id iot and more. The end", "idiot") > 5 * nearest(f"{plain}. The end", "idiot")
-    assert nearest(f"{plain} you get lost now, please", "get lost") > 0.99
-    assert nearest(f"{plain} you kuf now", "kuf") > 0.99 > 0.5 > nearest(plain, "kuf")
-    assert nearest("你" * 40 + "笨蛋" + "好" * 40, "笨蛋") > 0.99
-    assert {"kuf", "笨蛋"} <= {p.decode() for p in toxicity._pieces("akufa 你笨蛋好".encode())}
+    base = worst(plain)
+    assert base == -0.5 and worst("") == model.lowest
+    # signs, single characters, blanks, a character put in, short strings, unspaced runs
+    for text in ("you I.D-i*o*t now", "y i d i o t", "you id iot and more", "an idxiot", "a kuf", "你" * 40 + "笨蛋"):
+        assert worst(f"{plain} {text}. The end") > base, text
+    # a sentence's end parts two words
+    assert worst("some id. iot some") < worst("some id iot some") - 0.05
+    assert reader.worst([["idiot".encode()], [b"word"], []]) == [worst("idiot"), worst("word"), model.lowest]
+    assert {" kuf", "笨蛋"} <= {p.decode() for p in toxicity._pieces("kufa 你笨蛋好".encode())}
+
+
+def test_near_copy_keys_take_time_in_proportion(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from reviewlens.llm import toxicity
+
+    def seconds(n):
+        docs = spark.createDataFrame([(cases.prose(1, n),)], "text string").select(toxicity.near_copy_key(F.col("text")))
+        docs.collect()
+        start = time.time()
+        docs.collect()
+        return time.time() - start
+
+    assert seconds(80_000) < 20 * seconds(8000) + 1
 
 
 def test_texts_that_share_a_word_are_no_near_copies(spark):
