@@ -26,11 +26,14 @@ any); repeated rows are scored each.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,21 +96,22 @@ def spelled(words: list[bytes]) -> list[str]:
 
 
 def kernel(words: list[str], others: list[str], order: int, decay: float) -> np.ndarray:
-    """Gap-weighted subsequence kernel of all ``words`` with all ``others``, for words of one
+    """Gap-weighted subsequence kernel of all ``words`` with all ``others``, for words of about one
     length at a time. Divided by the value of ``others`` with themselves, so a word that holds
     the other string unbroken gets 1 or a little more."""
     out = np.zeros((len(words), len(others)), np.float32)
     by_length: dict[int, list[int]] = {}
     for k, w in enumerate(words):
-        by_length.setdefault(len(w), []).append(k)
+        # filled up to few lengths, so that few calls do for all words
+        by_length.setdefault(-(-len(w) // 6) * 6, []).append(k)
     targets = [_codes(other) for other in others]
     orders = [max(min(order, len(t)), 1) for t in targets]
     own = [_kernel_column(t[:, None].copy(), t, o, decay)[0] if len(t) else 1.0 for t, o in zip(targets, orders)]
     seeds = _pairs_table(targets)
     for n, at in by_length.items():
-        for low in range(0, len(at) if n else 0, 4096):
-            chosen = np.array(at[low : low + 4096])
-            s = _codes("".join([words[k] for k in chosen])).reshape(len(chosen), n)
+        for low in range(0, len(at) if n else 0, 16_384):
+            chosen = np.array(at[low : low + 16_384])
+            s = _codes("".join([words[k].ljust(n, _FILL) for k in chosen])).reshape(len(chosen), n)
             s = np.ascontiguousarray(s.T)
             close = _sharing(s, seeds, targets)
             for j, t in enumerate(targets):
@@ -119,6 +123,8 @@ def kernel(words: list[str], others: list[str], order: int, decay: float) -> np.
 
 
 _PAIRS = 1 << 14
+#: Fills words up to a length; no text holds it.
+_FILL = "\U0010fffe"
 
 
 def _pair_codes(s: np.ndarray) -> np.ndarray:
@@ -302,26 +308,29 @@ def _curve(margin: np.ndarray, toxic: np.ndarray, score: float) -> tuple[float,
     return slope, float(np.log(score / (1 - score)) - slope * cut)
 
 
-def _pieces(text: bytes) -> set[bytes]:
-    """Strings of 2 to 10 characters of the words of a text and the blanks around them."""
-    out: set[bytes] = set()
-    for word in {plain(w) for w in text.lower().split()}:
-        word = f" {word} "
-        for n in range(2, min(len(word), 10) + 1):
-            out.update(word[at : at + n].encode() for at in range(len(word) - n + 1))
+def _pieces(word: str) -> set[bytes]:
+    """Strings of 2 to 10 characters of a word and the blanks around it."""
+    word, out = f" {word} ", set()
+    for n in range(2, min(len(word), 10) + 1):
+        out.update(word[at : at + n].encode() for at in range(len(word) - n + 1))
     return {p for p in out if len(p.strip()) > 1}
 
 
 def _counted_pieces(docs: DataFrame, only: set[bytes] | None) -> DataFrame:
-    """Documents that hold each string within a word of 2 to 10 characters, counted per partition first."""
+    """Documents that hold each string of their words (all, or ``only`` some), counted per partition first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[bytes, int] = {}
+        counts: Counter = Counter()
+        known: dict[bytes, tuple[bytes, ...]] = {}
         for batch in batches:
             for text in batch.column(0).cast(pa.binary()):
-                found = _pieces(text.as_py() or b"")
-                for piece in found if only is None else found & only:
-                    counts[piece] = counts.get(piece, 0) + 1
+                words = set((text.as_py() or b"").lower().split())
+                if len(known) > 200_000:
+                    known.clear()
+                for word in words - known.keys():
+                    found = _pieces(plain(word))
+                    known[word] = tuple(found if only is None else found & only)
+                counts.update(set(chain.from_iterable(map(known.__getitem__, words))))
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())],
             names=["piece", "n"],
@@ -387,8 +396,8 @@ def near_windows(docs: DataFrame, landmarks: list[str], settings: Settings) -> D
         counts: dict[tuple[str, int], int] = {}
         for batch in batches:
             toxic = batch.column(1).to_pylist()
-            for low in range(0, batch.num_rows, 500):
-                texts = batch.column(0).slice(low, 500).cast(pa.binary())
+            for low, high in grouped(batch.column(0)):
+                texts = batch.column(0).slice(low, high - low).cast(pa.binary())
                 found = [set((t.as_py() or b"").lower().split()) for t in texts]
                 new = list(set().union(*found) - near.keys())
                 cut = [windows_of(plain(w)) for w in new]
@@ -511,6 +520,17 @@ def learn(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     return model
 
 
+def grouped(texts: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, int]]:
+    """Neighbouring rows that hold about ``most`` bytes together, as (first, past the last)."""
+    ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    low = 0
+    while low < len(ends):
+        before = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield low, high
+        low = high
+
+
 def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """``keep`` with ``margin`` and ``score`` of each row's text."""
     schema = docs.select(*keep).schema
@@ -518,8 +538,8 @@ def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model)
         for batch in batches:
-            for low in range(0, batch.num_rows, 1000):
-                part = batch.slice(low, 1000)
+            for low, high in grouped(batch.column(len(keep))):
+                part = batch.slice(low, high - low)
                 texts = [
                     (t.as_py() or b"").lower().split() if model.constant is None else []
                     for t in part.column(len(keep)).cast(pa.binary())
