@@ -14,31 +14,21 @@ def join_counted_lookup(
     keys: list[str],
     value: str,
     rows: str,
-    spread: list[Column],
+    only: Column | None = None,
 ) -> DataFrame:
-    """``facts`` with ``value`` of the lookup row that has the same keys, else null.
+    """``facts`` with ``value`` of the lookup row that has the same keys, else null; with
+    ``only``, a condition on the lookup, the facts whose lookup row meets it and no others.
 
     ``lookup`` holds one row per key with the number of facts in ``rows``. A key is hot when
     it has more than 1/MAX_HOT_KEYS of all facts, so fewer than MAX_HOT_KEYS keys can be hot
-    and those are broadcast. Hot facts go through the shuffle join spread over all
-    partitions by ``spread``, where they match nothing; all other keys join as usual.
+    and those are broadcast. Hot facts are answered by that alone and cross no shuffle; the
+    others join by a shuffle in which no key is large. ``facts`` is read twice, so pass a table.
     """
     total = lookup.agg(F.sum(rows)).first()[0] or 0
     is_hot = F.col(rows) * MAX_HOT_KEYS > total
-    hot = lookup.filter(is_hot).select(*keys, F.col(value).alias("_hot"))
-    # always 0, but not a literal: the planner would take a literal out of the join keys
-    zero = F.least(F.col(rows), F.lit(0)).cast("long")
-    cold = lookup.filter(~is_hot).select(
-        *keys, zero.alias("_spread"), F.col(value).alias("_cold")
-    )
-    placed = facts.join(F.broadcast(hot), keys, "left").withColumn(
-        "_spread",
-        F.when(F.col("_hot").isNull(), F.lit(0).cast("long")).otherwise(
-            F.pmod(F.xxhash64(*spread), F.lit(1 << 20)) + 1
-        ),
-    )
-    return (
-        placed.join(cold, [*keys, "_spread"], "left")
-        .withColumn(value, F.coalesce("_hot", "_cold"))
-        .drop("_hot", "_cold", "_spread")
-    )
+    hot, cold = lookup.filter(is_hot), lookup.filter(~is_hot)
+    wanted = F.lit(True) if only is None else only
+    answered = facts.join(F.broadcast(hot.filter(wanted).select(*keys, value)), keys)
+    rest = facts.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    joined = rest.join(cold.filter(wanted).select(*keys, value), keys, "left" if only is None else "inner")
+    return answered.unionByName(joined)

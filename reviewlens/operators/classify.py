@@ -89,11 +89,11 @@ def term_weights(tokens: DataFrame, key: str) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("tf")),
         "tf",
     )
-    df = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    # read three times, so it is written as well
+    df = stage(tf.groupBy("word").agg(F.count(F.lit(1)).alias("df")), "df")
     weight = F.col("tf") * F.log((F.lit(texts) + 1.0) / (F.col("df") + 1.0))
-    return join_counted_lookup(
-        tf, df.withColumn("rows", F.col("df")), ["word"], "df", "rows", [F.col(key)]
-    ).select(key, "word", "tf", weight.alias("tfidf"))
+    counted = df.withColumn("rows", F.col("df"))
+    return join_counted_lookup(tf, counted, ["word"], "df", "rows").select(key, "word", "tf", weight.alias("tfidf"))
 
 
 def split_60_40(data: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -52,3 +52,9 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     """Delete a staged table that nothing will read again."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def drop_table(spark: SparkSession, name: str, path: str) -> None:
+    """Forget a table that was written to a path of its own, and delete its files."""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    drop_folder(spark, path)
