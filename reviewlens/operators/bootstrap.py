@@ -11,6 +11,7 @@ import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +57,12 @@ def word_edges(pairs: DataFrame, seeds: str = SEEDS) -> DataFrame:
     )
 
 
+def merged_edges(*edges: DataFrame) -> DataFrame:
+    """Word pairs of several deliveries as one table, their counts added up."""
+    every = reduce(DataFrame.unionByName, edges)
+    return every.groupBy(*EDGE, "seed").agg(F.sum("n").alias("n"))
+
+
 @dataclass(frozen=True)
 class Step:
     """What one step of the discovery read and found."""

@@ -59,7 +59,7 @@ def with_clause_context(
     """Opinions read from a table, joined with the clauses they came from.
 
     One join on the clause key for all comments. An opinion without its clause is left out;
-    ``opinions_without_clause`` counts those.
+    ``opinions_without_clause`` has those, for the account of left-out rows.
     """
     neg_adv = negating_adverb(
         F.col("feature"), F.col("sentiment"), F.col("adverbs"), id_order

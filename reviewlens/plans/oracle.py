@@ -307,6 +307,22 @@ _FINAL = {
     "json_first_sentence": """
         SELECT cId, text FROM (SELECT cId, text, row_number() OVER (PARTITION BY cId ORDER BY sId) AS rn FROM digest)
         WHERE rn = 1""",
+    "skipped_rows": """
+        SELECT 'task results' AS source, reason, count(*) AS n FROM (
+          SELECT CASE WHEN doc_id % 10 = 7 THEN 'failed' WHEN doc_id % 13 = 5 THEN 'empty'
+                      WHEN doc_id % 11 = 3 THEN 'broken' WHEN doc_id % 17 = 9 THEN 'no comment' END AS reason
+          FROM documents) WHERE reason IS NOT NULL GROUP BY reason
+        UNION ALL
+        SELECT 'xml parses', reason, count(*) FROM (
+          SELECT CASE WHEN doc_id % 19 = 6 OR text IS NULL THEN 'empty' WHEN doc_id % 9 = 4 THEN 'broken' END AS reason
+          FROM documents) WHERE reason IS NOT NULL GROUP BY reason
+        UNION ALL
+        SELECT 'opinions', 'no clause', count(*) FROM accepted WHERE (cid + sid) % 17 = 0 HAVING count(*) > 0
+        UNION ALL
+        SELECT 'task results', 'clauses read', count(*) FROM clauses
+        WHERE cid % 10 <> 7 AND cid % 13 <> 5 AND cid % 11 <> 3 AND cid % 17 <> 9
+        UNION ALL
+        SELECT 'xml parses', 'clauses read', count(*) FROM clauses WHERE cid % 19 <> 6 AND cid % 9 <> 4""",
     "html_fields": """
         SELECT conv_id, page, pos, CAST(conv_id + pos AS INTEGER) AS votes,
                CASE WHEN pos % 3 > 0 THEN score ELSE 0 END AS rating, content AS text FROM results""",
@@ -345,6 +361,8 @@ _FINAL = {
         SELECT {_OPINION}, CASE WHEN NOT fok THEN 1 WHEN NOT seed THEN 0 WHEN sok AND spos = 'a' THEN -1 ELSE 1 END AS label
         FROM sides""",
     "bootstrap_labels": f"SELECT {_OPINION}, label FROM marked",
+    "grown_labels": """
+        SELECT pid AS pId, f, fpos, s, spos, seed, n, label FROM labelled""",
     "feature_sentiment_pairs": f"SELECT {_OPINION} FROM accepted",
     "nested_opinions": """
         SELECT pId, cId, string_agg(line, ';' ORDER BY sid) AS opinions FROM (

@@ -16,6 +16,7 @@ from reviewlens.plans import driver_tables as tables
 from reviewlens.plans import product_opinions as opinions
 from reviewlens.session import new_folder, stage
 from reviewlens.sources import parses, review_pages, tables as stored, text_files, web_pages
+from reviewlens.sources.quarantine import Quarantine
 from reviewlens.streaming import ingest
 
 KEY = ["pId", "cId", "sId", "pairNo"]
@@ -162,6 +163,37 @@ def json_first_sentence(spark: SparkSession, sf: str) -> DataFrame:
     return answers.select("cId", F.array_join(first.getField("cont"), " ").alias("text"))
 
 
+def skipped_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Left-out rows by source and reason: results that failed, are empty, cut off or without a
+    comment, cut-off XML, and opinions whose clause is missing."""
+    kept = Quarantine(spark)
+    text_words = schemas.CLAUSE_LIST.replace("int", "string")
+    c_id = F.when(F.col("cId") % 17 != 9, F.col("cId")).alias("cId")
+    whole = F.to_json(F.struct("pId", c_id, F.col("cDpResult").cast(text_words).alias("cDpResult")))
+    cut_off = F.substring(whole, F.lit(1), F.floor(F.length(whole) / 2).cast("int"))
+    raw = tables.comments_dp(spark, sf).select(
+        F.when(F.col("cId") % 10 == 7, "FAILURE").otherwise("SUCCESS").alias("status"),
+        F.when(F.col("cId") % 13 == 5, "false")
+        .when(F.col("cId") % 11 == 3, cut_off)
+        .otherwise(whole)
+        .alias("result"),
+    )
+    read = [parses.flat_clauses(parses.sifted_task_parses(raw, kept)).count()]
+    xml = F.when(F.col("cId") % 9 == 4, F.substring("xml", F.lit(1), F.length("xml") - 20)).otherwise(F.col("xml"))
+    documents = _parse_xml(spark, sf).withColumn("xml", F.when(F.col("cId") % 19 != 6, xml))
+    read.append(parses.flat_clauses(parses.sifted_xml_clauses(documents, "xml", kept)).count())
+    found = _mined(spark, sf).opinions().select("pId", "cId", "sId", "pairNo")
+    clauses = tables.clauses(spark, sf).filter((F.col("cId") + F.col("sId")) % 17 != 0)
+    orphans = negation.opinions_without_clause(found, clauses)
+    key = F.concat_ws("-", "pId", "cId", "sId", "pairNo")
+    kept.add(orphans.select(F.lit("no clause").alias("reason"), key.alias("key"), F.lit(None).alias("record")), "opinions")
+    clauses_read = spark.createDataFrame(
+        [("task results", "clauses read", read[0]), ("xml parses", "clauses read", read[1])],
+        "source string, reason string, n bigint",
+    )
+    return kept.account().unionByName(clauses_read)
+
+
 def html_fields(spark: SparkSession, sf: str) -> DataFrame:
     """Pages laid out like a comment list, then read back."""
     rows = comments.flatten_results(tables.raw_comments(spark, sf))
@@ -304,6 +336,23 @@ def bootstrap_labels(spark: SparkSession, sf: str) -> DataFrame:
     return _opinion(bootstrap.label_pairs(pairs, labelled), "label")
 
 
+def grown_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Word pairs of half of the documents, labelled again as the other half comes to them."""
+    found = stage(
+        word_pairs.opinion_candidates(
+            tables.clauses(spark, sf), tables.SEEDS, tables.NEGATION, tables.ADVERSATIVE
+        ),
+        "candidates",
+    )
+    first, second = (
+        stage(bootstrap.word_edges(found.filter(F.col("cId") % 2 == half), tables.SEEDS), "edges")
+        for half in (0, 1)
+    )
+    both = stage(bootstrap.merged_edges(first, second), "edges")
+    times = bootstrap.extended_times(bootstrap.discovery_times(first), both, second)
+    return bootstrap.label_edges(both, times).filter("s is not null").drop("by")
+
+
 def feature_sentiment_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return _opinion(_mined(spark, sf).opinions())
 
@@ -570,6 +619,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "xml_sentence_map": xml_sentence_map,
     "task_parses": task_parses,
     "json_first_sentence": json_first_sentence,
+    "skipped_rows": skipped_rows,
     "html_fields": html_fields,
     "page_plan": page_plan,
     "set_query_param": set_query_param,
@@ -585,6 +635,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "flat_pairs_view": flat_pairs_view,
     "seed_pass": seed_pass,
     "bootstrap_labels": bootstrap_labels,
+    "grown_labels": grown_labels,
     "feature_sentiment_pairs": feature_sentiment_pairs,
     "nested_opinions": nested_opinions,
     "feature_lexicon": feature_lexicon,
