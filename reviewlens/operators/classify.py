@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, NaiveBayes
@@ -102,6 +104,63 @@ def split_60_40(data: DataFrame) -> tuple[DataFrame, DataFrame]:
     return data.filter(training), data.filter(~training)
 
 
+def in_training(text: Column) -> Column:
+    """True for 60 of 100 texts, by the first digits of their hash (M9)."""
+    return F.conv(F.substring(F.md5(text), 1, 4), 16, 10).cast("int") % 100 < 60
+
+
+@dataclass(frozen=True)
+class Bayes:
+    """Naive Bayes over counted words: a table of log weights for both classes, and the log odds of
+    the positive class. No word is hashed and none left out."""
+
+    weights: DataFrame
+    prior: float
+
+
+def fit_bayes(training: DataFrame) -> Bayes:
+    """From ``training`` (tokens, label 0 or 1), with every count raised by one."""
+    positive = F.col("label") == 1
+    counts = stage(
+        training.select(F.explode("tokens").alias("word"), "label")
+        .groupBy("word")
+        .agg(F.count_if(~positive).alias("n_negative"), F.count_if(positive).alias("n_positive")),
+        "word-counts",
+    )
+    total = counts.agg(
+        F.sum("n_negative").alias("negative"), F.sum("n_positive").alias("positive"), F.count(F.lit(1)).alias("words")
+    ).first()
+    texts = training.agg(F.count_if(~positive).alias("negative"), F.count_if(positive).alias("positive")).first()
+    weights = [
+        F.log((F.col(f"n_{side}") + 1) / F.lit(float((total[side] or 0) + total["words"]))).alias(side)
+        for side in ("negative", "positive")
+    ]
+    rows = (F.col("n_negative") + F.col("n_positive")).alias("rows")
+    prior = math.log((texts["positive"] or 1) / (texts["negative"] or 1))
+    return Bayes(stage(counts.select("word", *weights, rows), "word-weights"), prior)
+
+
+def bayes_predictions(model: Bayes, tokens: DataFrame) -> DataFrame:
+    """``tokens`` (text, tokens, ...) with ``prediction`` (M12). Unknown words don't count.
+
+    Texts are taken apart under the hash of the text, and a frequent word meets its weight by a
+    broadcast, so no key of the join holds many rows.
+    """
+    keyed = stage(tokens.withColumn("key", F.sha2("text", 256)), "keyed")
+    words = stage(
+        keyed.select("key", F.explode("tokens").alias("word")).groupBy("key", "word").agg(F.count(F.lit(1)).alias("tf")),
+        "words",
+    )
+    value = F.struct("negative", "positive").alias("weight")
+    lookup = model.weights.select("word", value, "rows")
+    found = join_counted_lookup(words, lookup, ["word"], "weight", "rows", F.col("rows") > 0)
+    odds = found.groupBy("key").agg(
+        F.sum(F.col("tf") * (F.col("weight.positive") - F.col("weight.negative"))).alias("odds")
+    )
+    total = F.coalesce("odds", F.lit(0.0)) + model.prior
+    return keyed.join(odds, "key", "left").withColumn("prediction", (total > 0).cast("int")).drop("key", "odds")
+
+
 def fit(training: DataFrame, kind: str = "svm") -> PipelineModel:
     """Hashed TF-IDF and a linear SVM or naive Bayes model.
 

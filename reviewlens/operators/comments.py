@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reviewlens import fixed_values as fixed
@@ -60,6 +60,49 @@ def dense_ids(df: DataFrame, order_by: Sequence[str], name: str = "cId", start:
     )
 
 
+class Counter:
+    """Numbers that go on from one delivery to the next, kept as a small table."""
+
+    _SCHEMA = "delivery string, first bigint, n bigint"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._spark, self._path = spark, path
+        # so that the table exists before the first delivery
+        spark.createDataFrame([], self._SCHEMA).write.mode("append").parquet(path)
+
+    def take(self, delivery: str, n: int) -> int:
+        """The first of ``n`` numbers for ``delivery``; the same ones when it is run again."""
+        taken = self._spark.read.schema(self._SCHEMA).parquet(self._path)
+        found = taken.agg(
+            F.max(F.when(F.col("delivery") == delivery, F.struct("first", "n"))).alias("own"),
+            F.coalesce(F.max(F.col("first") + F.col("n")), F.lit(0)).alias("next"),
+        ).first()
+        if found["own"] and found["own"]["n"] == n:
+            return found["own"]["first"]
+        row = [(delivery, found["next"], n)]
+        self._spark.createDataFrame(row, self._SCHEMA).write.mode("append").parquet(self._path)
+        return found["next"]
+
+
+def counter_ids(df: DataFrame, counter: Counter, delivery: str, name: str = "cId") -> DataFrame:
+    """Number the rows of a delivery without gaps, in the order in which they are stored.
+
+    The rows are written once as they come. A row's number is its place in its file plus the
+    rows of the files before, so only the counts of the files are brought together and no row
+    is sorted or shuffled.
+    """
+    placed = stage(df, "delivery").select(
+        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")
+    )
+    sizes = stage(placed.groupBy("_file").agg(F.count(F.lit(1)).alias("_n")), "file-sizes")
+    first = counter.take(delivery, sizes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0])
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    # one row for each file that was written
+    numbered = placed.join(F.broadcast(offsets), "_file")
+    return numbered.withColumn(name, F.col("_before") + F.col("_row") + first).drop("_file", "_row", "_before")
+
+
 def format_comments(raw: DataFrame, product_id: Column, order_by: Sequence[str]) -> DataFrame:
     """Numbered comments of one product, as in ``schemas.COMMENTS``."""
     numbered = dense_ids(flatten_results(raw), order_by)

@@ -112,6 +112,14 @@ def clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def parsed_comments(numbered: DataFrame) -> DataFrame:
+    """Short comments (pId, number, content) as parsed clauses, one of each."""
+    parsed = _parsed(F.lower("content"))
+    return numbered.filter(F.col("content") != "").select(
+        "pId", F.col("number").alias("cId"), F.lit(0).alias("sId"), parsed.alias("words")
+    )
+
+
 def comments_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same clauses, all those of a document in one row."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")

@@ -280,6 +280,31 @@ SELECT pid AS pId, cid AS cId, sid AS sId, content FROM ratios
 WHERE length(content) BETWEEN 4 AND 100 AND NOT regexp_matches(content, '{_URL}') AND NOT ratio > 0.5
 """)
 
+_part("balanced_text", """
+SELECT text, 0 AS label FROM rated_text WHERE rating < 4
+UNION ALL
+SELECT text, 1 FROM (
+  SELECT text, row_number() OVER (ORDER BY md5(text), text) AS rn FROM rated_text WHERE rating = 5)
+WHERE rn <= (SELECT count(*) FROM rated_text WHERE rating < 4)
+""", True)
+_part("bayes_tokens", r"""
+SELECT *, ('0x' || substr(md5(text), 1, 4))::INTEGER % 100 < 60 AS training FROM (
+  SELECT row_number() OVER () AS row, text, label, regexp_extract_all(text, '[\p{L}\p{N}]+') AS tokens FROM balanced_text)
+""", True)
+_part("bayes_words", """
+SELECT * FROM (SELECT row, label, training, unnest(tokens) AS word FROM bayes_tokens)
+WHERE word NOT IN (
+  SELECT word FROM (SELECT unnest(tokens) AS word FROM bayes_tokens) GROUP BY word ORDER BY count(*) DESC, word LIMIT 10)
+""", True)
+_part("bayes_counts", """
+SELECT word, count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1
+FROM bayes_words WHERE training GROUP BY word
+""", True)
+_part("bayes_model", """
+SELECT word, ln((n0 + 1) / (t0 + v)) AS negative, ln((n1 + 1) / (t1 + v)) AS positive
+FROM bayes_counts, (SELECT sum(n0) AS t0, sum(n1) AS t1, count(*) AS v FROM bayes_counts)
+""", True)
+
 _PAIR = 'SELECT pId, cId, sId, pairNo, first_id, "first", second_id, "second", relate{more} FROM flat_pairs'
 _OPINION = "pid AS pId, cid AS cId, sid AS sId, pno AS pairNo, f AS feature, s AS sentiment, relate"
 _RESULT = "SELECT conv_id, page, pos, {content} AS content, score FROM results"
@@ -291,6 +316,11 @@ _FINAL = {
     "format_comments": """
         SELECT CAST(1000 AS BIGINT) AS pId, row_number() OVER (ORDER BY conv_id, page, pos) - 1 AS cId,
                content, score FROM results""",
+    "counter_ids": """
+        SELECT 'part ' || part AS delivery, n, n AS n_ids, first, first + n - 1 AS last FROM (
+          SELECT *, CAST(sum(n) OVER (ORDER BY part) - n AS BIGINT) AS first FROM (
+            SELECT conv_id % 3 AS part, count(*) AS n FROM results GROUP BY ALL))
+        JOIN (SELECT unnest([0, 1, 1, 2]) AS run) ON run = part""",
     "normalise_newlines": "SELECT doc_id, replace(text, chr(10), '。') AS content FROM documents",
     "repeat_ratio": r"""
         SELECT doc_id, 1 - len(list_distinct(parts)) / len(parts) AS ratio FROM (
@@ -299,6 +329,11 @@ _FINAL = {
     "purge_comments": "SELECT * FROM purged",
     "element_check": r"SELECT * FROM purged WHERE regexp_matches(content, '[^A-Za-z0-9\p{P}\p{S}\s]')",
     "jsonp_comments": _RESULT.format(content="replace(content, chr(10), '。')"),
+    "gbk_pages": r"""
+        SELECT conv_id, page, pos, replace(regexp_replace(translate(content, @plain, @cjk),
+               '[^\x00-\x7f\x{4e00}-\x{9fff}]', '?', 'g'), chr(10), '。') AS content, score FROM results""".replace(
+        "@plain", "'abcdefghijklmnopqrstuvwxyz'"
+    ).replace("@cjk", "'" + "".join(chr(0x4E00 + i) for i in range(26)) + "'"),
     "xml_parse": "SELECT * FROM digest",
     "xml_sentence_map": """
         SELECT cid AS cId, CAST(count(DISTINCT sid) AS INTEGER) AS n_sentences, CAST(count(*) AS INTEGER) AS n_words
@@ -326,6 +361,12 @@ _FINAL = {
     "html_fields": """
         SELECT conv_id, page, pos, CAST(conv_id + pos AS INTEGER) AS votes,
                CASE WHEN pos % 3 > 0 THEN score ELSE 0 END AS rating, content AS text FROM results""",
+    "html_references": """
+        SELECT doc_id, text || ' ' || CASE doc_id % 11
+            WHEN 0 THEN '&lt;' WHEN 1 THEN '&lt;' WHEN 2 THEN 'AB' WHEN 3 THEN chr(128512)
+            WHEN 4 THEN '&#55357;&#56832;' WHEN 5 THEN '&#99999999;' WHEN 6 THEN '&#xffffffffff;' WHEN 7 THEN '&#0;'
+            WHEN 8 THEN '&unknown; & &' WHEN 9 THEN '<b>' ELSE chr(34) || chr(39) || ' ' END AS content
+        FROM documents""",
     "page_plan": """
         SELECT pId, CAST(page AS INTEGER) AS page,
                'https://shop.example.com/reviews?callback=cb' || pId
@@ -342,6 +383,10 @@ _FINAL = {
     "latest_pages": """
         SELECT url, page_id, code, CAST(length(html) AS INTEGER) AS n_chars,
                strftime(fetched_at, '%Y-%m-%d %H:%M:%S') AS fetched_at FROM latest""",
+    "upserted_pages": """
+        SELECT url, page_id, code, CAST(length(html) AS INTEGER) AS n_chars,
+               strftime(fetched_at, '%Y-%m-%d %H:%M:%S') AS fetched_at FROM cache
+        QUALIFY row_number() OVER (PARTITION BY url ORDER BY fetched_at DESC) = 1""",
     "cached_pages": "SELECT page_id, url FROM pages WHERE url IN (SELECT url FROM latest)",
     "fetch_plan": """
         SELECT * FROM (
@@ -387,6 +432,11 @@ _FINAL = {
         WHERE word <> ''""".replace("@plain", "'abcdefghijklmnopqrstuvwxyz'").replace(
         "@cjk", "'" + "".join(chr(0x4E00 + i) for i in range(26)) + "'"
     ),
+    "word_list_files": r"""
+        SELECT word, polarity FROM (
+          SELECT DISTINCT unnest(string_split_regex(lower(text), '\s+')) AS word FROM documents),
+          (SELECT unnest([-1, 1]) AS polarity)
+        WHERE contains(word, CASE polarity WHEN -1 THEN 'a' ELSE 'e' END)""",
     "synonym_polarity": "SELECT word, polarity FROM polarity",
     "tuple_degrees": f"SELECT {_OPINION}, deg_value FROM degrees",
     "comment_degree": "SELECT pid AS pId, cid AS cId, degree AS cDegValue FROM comment_degrees",
@@ -401,11 +451,13 @@ _FINAL = {
                    count(*) FILTER (score > 3) AS actual_true, count(*) AS all_count
             FROM comment_degrees d LEFT JOIN rated r ON r.cid = d.cid AND r.pid = d.pid))""",
     "feature_tags": "SELECT * FROM tags",
+    "merged_tags": "SELECT * FROM tags",
     "tag_comments": """
         SELECT DISTINCT s.pid AS pId, s.f AS tFeature, s.good AS tIsGood, s.cid AS cId
         FROM shown s JOIN features v ON v.pid = s.pid AND v.name = s.f""",
     "hot_tags": "SELECT * FROM hot",
     "product_totals": "SELECT * FROM totals",
+    "append_summaries": "SELECT * FROM totals",
     "product_summary": """
         SELECT t.*, coalesce(p.line, '') AS hotPos, coalesce(n.line, '') AS hotNeg FROM totals t
         LEFT JOIN (SELECT pId, string_agg(concat_ws('/', tFeature, tSentiment, tCount, tCommentCount), ',' ORDER BY "rank") AS line
@@ -430,6 +482,19 @@ _FINAL = {
           SELECT *, count(*) OVER (PARTITION BY word) AS df FROM (
             SELECT cid AS cId, word, count(*) AS tf FROM (SELECT cid, unnest(tokens) AS word FROM tokens)
             GROUP BY ALL))""",
+    "split_counts": """
+        SELECT label, CASE WHEN training THEN 'training' ELSE 'test' END AS part, count(*) AS n
+        FROM bayes_tokens GROUP BY ALL""",
+    "bayes_weights": "SELECT word, round(negative, 6) AS negative, round(positive, 6) AS positive FROM bayes_model",
+    "bayes_accuracy": """
+        SELECT count(*) AS n_test, count(*) FILTER (predicted = label) AS n_right,
+               count(*) FILTER (predicted = label) / count(*) AS accuracy
+        FROM (SELECT t.label, CASE WHEN coalesce(odds, 0) + prior > 0 THEN 1 ELSE 0 END AS predicted
+              FROM bayes_tokens t
+              LEFT JOIN (SELECT row, sum(positive - negative) AS odds FROM bayes_words JOIN bayes_model USING (word)
+                         WHERE NOT training GROUP BY row) o ON o.row = t.row,
+              (SELECT ln(count(*) FILTER (label = 1) / count(*) FILTER (label = 0)) AS prior FROM bayes_tokens WHERE training)
+              WHERE NOT training)""",
     "stream_ingest": """
         SELECT conv_id || '-' || page AS _id, pos, content, score FROM (
           SELECT *, 1 - len(list_distinct(parts)) / len(parts) AS ratio FROM (
@@ -443,18 +508,26 @@ _FINAL = {
 }
 
 
-def _complete(query: str) -> str:
-    """``query`` with all the parts it needs in front."""
+def _complete(query: str, changed: dict[str, str] | None = None) -> str:
+    """``query`` with all the parts it needs in front; ``changed`` parts take the place of others."""
+    parts = {**_PARTS, **(changed or {})}
     needed: set[str] = set()
     texts = [query]
     while texts:
         text = texts.pop()
-        for name, body in _PARTS.items():
+        for name, body in parts.items():
             if name not in needed and re.search(rf"\b{name}\b(?!\.)", text):
                 needed.add(name)
                 texts.append(body)
-    parts = [body for name, body in _PARTS.items() if name in needed]
-    return f"WITH RECURSIVE {', '.join(parts)} {query}" if parts else query
+    # parts that only a changed one needs come before all others
+    first = [parts[name] for name in ("sentences", "ratios", "purged") if changed and name in needed]
+    rest = [body for name, body in parts.items() if name in needed and body not in first]
+    return f"WITH RECURSIVE {', '.join(first + rest)} {query}" if needed else query
+
 
+#: Purged sentences as comments of one clause, numbered over all products.
+_PURGED_CLAUSES = """clauses AS MATERIALIZED (
+SELECT pId AS pid, row_number() OVER (ORDER BY pId, cId, sId) - 1 AS cid, 0 AS sid, lower(content) AS content FROM purged)"""
 
 ORACLE: dict[str, str] = {name: _complete(query) for name, query in _FINAL.items()}
+ORACLE["reviews_to_summary"] = _complete(_FINAL["product_summary"], {"clauses": _PURGED_CLAUSES})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from reviewlens import schemas
 from reviewlens.functions import text
 from reviewlens.operators import bootstrap, classify, comments, evaluate, lexicon, negation
 from reviewlens.operators import pairs as word_pairs
-from reviewlens.operators import scoring
+from reviewlens.operators import scoring, tags
 from reviewlens.plans import driver_tables as tables
 from reviewlens.plans import product_opinions as opinions
 from reviewlens.session import new_folder, stage
@@ -43,6 +44,25 @@ def format_comments(spark: SparkSession, sf: str) -> DataFrame:
     return comments.format_comments(raw, F.lit(1000), ["conv_id", "page", "pos"])
 
 
+def counter_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Three deliveries are numbered one after the other, the second one twice: the numbers each got."""
+    rows = comments.flatten_results(tables.raw_comments(spark, sf)).select("conv_id", "page", "pos", "content")
+    counter = comments.Counter(spark, new_folder(spark, "counter"))
+    given = []
+    for part in (0, 1, 1, 2):
+        numbered = comments.counter_ids(rows.filter(F.col("conv_id") % 3 == part), counter, f"part {part}")
+        given.append(
+            numbered.agg(
+                F.lit(f"part {part}").alias("delivery"),
+                F.count(F.lit(1)).alias("n"),
+                F.count_distinct("cId").alias("n_ids"),
+                F.min("cId").alias("first"),
+                F.max("cId").alias("last"),
+            )
+        )
+    return reduce(DataFrame.unionByName, given)
+
+
 def normalise_newlines(spark: SparkSession, sf: str) -> DataFrame:
     documents = tables.table(spark, sf, "documents")
     return documents.select("doc_id", text.newlines_marked(F.col("text")).alias("content"))
@@ -76,6 +96,20 @@ def jsonp_comments(spark: SparkSession, sf: str) -> DataFrame:
     return review_pages.page_comments(_callback_pages(spark, sf), "body")
 
 
+def gbk_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Callback pages as GBK bytes, their plain letters written with CJK characters, read back."""
+    plain = "".join(chr(ord("a") + i) for i in range(26))
+    cjk = "".join(chr(0x4E00 + i) for i in range(26))
+    written = F.regexp_replace(F.translate("body", plain, cjk), r"[^\x00-\x7f\u4e00-\u9fff]", "?")
+    # the names of the fields stay as they are
+    for field in ("comments", "content", "score"):
+        written = F.replace(written, F.translate(F.lit(f'"{field}"'), plain, cjk), F.lit(f'"{field}"'))
+    # and so do the escaped line breaks
+    written = F.regexp_replace(written, r"\\" + cjk[plain.index("n")], r"\\n")
+    pages = review_pages.encoded(_callback_pages(spark, sf).withColumn("body", written), "body")
+    return review_pages.page_comments(review_pages.decoded(pages, "body"), "body")
+
+
 def _attribute(name: str, value: Column) -> Column:
     return F.concat(F.lit(f' {name}="'), value.cast("string"), F.lit('"'))
 
@@ -224,6 +258,33 @@ def html_fields(spark: SparkSession, sf: str) -> DataFrame:
     return web_pages.html_comments(pages, "html")
 
 
+#: Text as it is written in a page, and as it reads.
+REFERENCES = [
+    ("&#38;lt;", "&lt;"),
+    ("&amp;lt;", "&lt;"),
+    ("&#x41;&#X0042;", "AB"),
+    ("&#128512;", chr(128512)),
+    ("&#55357;&#56832;", "&#55357;&#56832;"),
+    ("&#99999999;", "&#99999999;"),
+    ("&#xffffffffff;", "&#xffffffffff;"),
+    ("&#0;", "&#0;"),
+    ("&unknown; & &", "&unknown; & &"),
+    ("<b>&lt;b&gt;</b>", "<b>"),
+    ("&quot;&apos;&nbsp;", "\"' "),
+]
+
+
+def html_references(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts of the documents, escaped, each with one of the odd references behind it."""
+    documents = tables.table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
+    escaped = F.col("content")
+    for character, reference in [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")]:
+        escaped = F.replace(escaped, F.lit(character), F.lit(reference))
+    written = F.array(*[F.lit(html) for html, _ in REFERENCES])
+    html = F.concat(F.lit("<p>"), escaped, F.lit(" "), F.get(written, F.col("doc_id") % len(REFERENCES)), F.lit("</p>"))
+    return documents.select("doc_id", web_pages.text_content(html).alias("content"))
+
+
 def page_plan(spark: SparkSession, sf: str) -> DataFrame:
     pId = tables.product_of(F.col("source"))
     products = (
@@ -250,6 +311,17 @@ def latest_pages(spark: SparkSession, sf: str) -> DataFrame:
     return latest.select("url", "page_id", "code", F.length("html").alias("n_chars"), fetched_at)
 
 
+def upserted_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The page cache brought together from three deliveries, the second one run twice."""
+    path, cache = new_folder(spark, "page-cache"), tables.page_cache(spark, sf)
+    for part in (0, 1, 1, 2):
+        web_pages.upsert_pages(spark, path, cache.filter(F.col("page_id") % 3 == (part + 1) % 3))
+    schema = cache.withColumn("bucket", F.lit(0)).schema
+    stored = web_pages.read_pages(spark, path, schema)
+    fetched_at = F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss").alias("fetched_at")
+    return stored.select("url", "page_id", "code", F.length("html").alias("n_chars"), fetched_at)
+
+
 def cached_pages(spark: SparkSession, sf: str) -> DataFrame:
     urls = tables.table(spark, sf, "pages").select("page_id", "url")
     latest = web_pages.latest_pages(tables.page_cache(spark, sf), _now())
@@ -431,6 +503,16 @@ def clean_lexicon(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def word_list_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of the documents with an a and with an e, written as two text files and read as a lexicon."""
+    documents = tables.spread(tables.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    words = documents.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).distinct()
+    paths = [new_folder(spark, f"{letter}-words") for letter in "ae"]
+    for letter, path in zip("ae", paths):
+        text_files.write_lines(words.filter(F.col("word").contains(letter)), "word", path)
+    return lexicon.read_lexicon(spark, *paths)
+
+
 def _dictionaries(mined: opinions.Mined) -> tuple[DataFrame, DataFrame]:
     vocabulary = stage(tables.sentiment_vocabulary(mined.candidates), "vocabulary")
     return tables.lexicon(vocabulary), tables.synonyms(vocabulary)
@@ -503,16 +585,37 @@ def hot_tags(spark: SparkSession, sf: str) -> DataFrame:
     return _report(spark, sf).hot_tags()
 
 
+def merged_tags(spark: SparkSession, sf: str) -> DataFrame:
+    """The tags of two deliveries of comments, counted apart and merged without reading them again."""
+    found = _report(spark, sf)
+    polar = scoring.polar(found.degrees)
+    parts = [tags.tag_counts(polar.filter(F.col("cId") % 2 == half)) for half in (0, 1)]
+    return tags.tags_of_counts(tags.merged_counts(*parts), found.features)
+
+
 def product_totals(spark: SparkSession, sf: str) -> DataFrame:
     return _report(spark, sf).product_totals()
 
 
-def product_summary(spark: SparkSession, sf: str) -> DataFrame:
+def append_summaries(spark: SparkSession, sf: str) -> DataFrame:
+    """Totals of all products stored by product, those of every second one stored again, read back."""
+    totals = stage(_report(spark, sf).product_totals(), "totals")
+    path = new_folder(spark, "summaries")
+    stored.append_table(totals.filter(F.col("pId") % 2 == 0), path, partition_by=["pId"])
+    stored.append_table(totals.filter(F.col("pId") % 2 == 1), path, partition_by=["pId"])
+    stored.replace_partitions(totals.filter(F.col("pId") % 2 == 1), path, ["pId"])
+    copy = new_folder(spark, "summaries")
+    for _ in range(2):
+        stored.overwrite_table(stored.read_table(spark, path, schema=totals.schema), copy)
+    return stored.read_table(spark, copy, schema=totals.schema).select(*totals.columns)
+
+
+def _shown(report: opinions.Report) -> DataFrame:
     """The summary documents, hot tags written as text in rank order."""
 
-    def shown(tags: str) -> Column:
+    def shown(hot: str) -> Column:
         line = F.transform(
-            tags,
+            hot,
             lambda t: F.concat_ws(
                 "/",
                 t["tFeature"],
@@ -523,7 +626,7 @@ def product_summary(spark: SparkSession, sf: str) -> DataFrame:
         )
         return F.array_join(line, ",")
 
-    return _report(spark, sf).product_summary().select(
+    return report.product_summary().select(
         "pId",
         "productCommentSummary.*",
         shown("hotPosTagStatistics").alias("hotPos"),
@@ -531,6 +634,19 @@ def product_summary(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def product_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return _shown(_report(spark, sf))
+
+
+def reviews_to_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """From raw comments to summaries: every sentence is a comment, noise is purged, what is left is
+    numbered over all products, parsed, mined, scored and summed up."""
+    clean = comments.purge(tables.sentences(spark, sf))
+    numbered = comments.dense_ids(clean, ["pId", "cId", "sId"], "number")
+    mined = opinions.mine(tables.parsed_comments(numbered), tables.rules())
+    return _shown(opinions.report(mined, *_dictionaries(mined)))
+
+
 # --- classifier -------------------------------------------------------------------------
 
 
@@ -573,6 +689,31 @@ def naive_bayes_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     return classify.train_and_test(_rated(spark, sf), "naive_bayes")
 
 
+def _bayes_data(spark: SparkSession, sf: str) -> DataFrame:
+    balanced = stage(classify.tokenized(classify.balanced(_rated(spark, sf))), "tokens")
+    return stage(classify.without_stop_words(balanced).select("text", "tokens", "label"), "data")
+
+
+def split_counts(spark: SparkSession, sf: str) -> DataFrame:
+    data = _bayes_data(spark, sf)
+    part = F.when(classify.in_training(F.col("text")), "training").otherwise("test")
+    return data.groupBy("label", part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def bayes_weights(spark: SparkSession, sf: str) -> DataFrame:
+    data = _bayes_data(spark, sf)
+    model = classify.fit_bayes(data.filter(classify.in_training(F.col("text"))))
+    return model.weights.select("word", F.round("negative", 6).alias("negative"), F.round("positive", 6).alias("positive"))
+
+
+def bayes_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    data = _bayes_data(spark, sf)
+    training = classify.in_training(F.col("text"))
+    found = classify.bayes_predictions(classify.fit_bayes(data.filter(training)), data.filter(~training))
+    right = F.count_if(F.col("prediction") == F.col("label"))
+    return found.agg(F.count(F.lit(1)).alias("n_test"), right.alias("n_right"), (right / F.count(F.lit(1))).alias("accuracy"))
+
+
 def score_texts(spark: SparkSession, sf: str) -> DataFrame:
     """A model trained on the rated comments scores all documents."""
     data = stage(
@@ -610,20 +751,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "flatten_results": flatten_results,
     "assign_ids": assign_ids,
     "format_comments": format_comments,
+    "counter_ids": counter_ids,
     "normalise_newlines": normalise_newlines,
     "repeat_ratio": repeat_ratio,
     "purge_comments": purge_comments,
     "element_check": element_check,
     "jsonp_comments": jsonp_comments,
+    "gbk_pages": gbk_pages,
     "xml_parse": xml_parse,
     "xml_sentence_map": xml_sentence_map,
     "task_parses": task_parses,
     "json_first_sentence": json_first_sentence,
     "skipped_rows": skipped_rows,
     "html_fields": html_fields,
+    "html_references": html_references,
     "page_plan": page_plan,
     "set_query_param": set_query_param,
     "latest_pages": latest_pages,
+    "upserted_pages": upserted_pages,
     "cached_pages": cached_pages,
     "fetch_plan": fetch_plan,
     "export_rated_lines": export_rated_lines,
@@ -645,6 +790,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "adversative_reset": adversative_reset,
     "negated_tuples": negated_tuples,
     "clean_lexicon": clean_lexicon,
+    "word_list_files": word_list_files,
     "synonym_polarity": synonym_polarity,
     "tuple_degrees": tuple_degrees,
     "comment_degree": comment_degree,
@@ -652,15 +798,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "flat_degrees_view": flat_degrees_view,
     "classification_quality": classification_quality,
     "feature_tags": feature_tags,
+    "merged_tags": merged_tags,
     "tag_comments": tag_comments,
     "hot_tags": hot_tags,
     "product_totals": product_totals,
+    "append_summaries": append_summaries,
     "product_summary": product_summary,
+    "reviews_to_summary": reviews_to_summary,
     "word_count": word_count,
     "stop_words": stop_words,
     "stopword_filter": stopword_filter,
     "balanced_sample": balanced_sample,
     "tfidf_weights": tfidf_weights,
+    "split_counts": split_counts,
+    "bayes_weights": bayes_weights,
+    "bayes_accuracy": bayes_accuracy,
     "svm_accuracy": svm_accuracy,
     "naive_bayes_accuracy": naive_bayes_accuracy,
     "score_texts": score_texts,

@@ -9,10 +9,29 @@ from reviewlens import schemas
 from reviewlens.functions.text import newlines_marked
 
 
-def decoded(content: Column, charset: str = "GBK") -> Column:
-    """Bytes as text. Character sets beyond the Unicode ones need the session setting
-    ``spark.sql.legacy.javaCharsets=true``."""
-    return F.decode(content, charset)
+_CHARSETS = "spark.sql.legacy.javaCharsets"
+
+
+def _with_charsets(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with columns that need character sets beyond the Unicode ones. Which sets are allowed
+    is settled as the columns are added, so the session's setting is put back at once."""
+    spark = df.sparkSession
+    before = spark.conf.get(_CHARSETS)
+    spark.conf.set(_CHARSETS, "true")
+    try:
+        return df.withColumns(columns)
+    finally:
+        spark.conf.set(_CHARSETS, before)
+
+
+def decoded(pages: DataFrame, content: str, charset: str = "GBK") -> DataFrame:
+    """``pages`` with the bytes of ``content`` as text (A10)."""
+    return _with_charsets(pages, {content: F.decode(content, charset)})
+
+
+def encoded(pages: DataFrame, content: str, charset: str = "GBK") -> DataFrame:
+    """``pages`` with the text of ``content`` as bytes."""
+    return _with_charsets(pages, {content: F.encode(content, charset)})
 
 
 def callback_json(page: Column) -> Column:

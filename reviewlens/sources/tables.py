@@ -31,6 +31,15 @@ def append_table(
     df.write.format(fmt).mode("append").options(**options).partitionBy(*partition_by).save(path)
 
 
+def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str], fmt: str = "parquet") -> None:
+    """Write rows in place of those in the same partitions; other partitions stay.
+
+    A delivery that is written again replaces itself, so nothing is there twice.
+    """
+    writer = df.write.format(fmt).mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*partition_by).save(path)
+
+
 def json_text(column: str | Column) -> Column:
     """A nested column as JSON text, for export."""
     return F.to_json(column)

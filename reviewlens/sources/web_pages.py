@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from reviewlens import fixed_values as fixed
+from reviewlens.session import stage
+from reviewlens.sources.tables import replace_partitions
 
 
 def page_plan(products: DataFrame, template: str) -> DataFrame:
@@ -36,14 +39,18 @@ def set_query_parameter(url: Column, name: str, value: Column) -> Column:
 
 
 def latest_pages(cache: DataFrame, now: Column, days: int = fixed.CACHE_DAYS) -> DataFrame:
-    """The newest unexpired entry of each address.
+    """The newest unexpired entry of each address."""
+    return newest_pages(cache.filter(F.col("fetched_at") >= now - F.expr(f"interval {days} days")))
+
+
+def newest_pages(cache: DataFrame) -> DataFrame:
+    """The newest entry of each address.
 
     Addresses and times alone find the newest; its page is joined back, so no other page
     body is shuffled. Of entries with equal times the one with the larger other columns counts.
     """
-    fresh = F.col("fetched_at") >= now - F.expr(f"interval {days} days")
     rest = [c for c in cache.columns if c not in ("url", "fetched_at")]
-    entries = cache.filter(fresh).withColumn("_tie", F.xxhash64(*rest))
+    entries = cache.withColumn("_tie", F.xxhash64(*rest))
     newest = entries.groupBy("url").agg(F.max(F.struct("fetched_at", "_tie")).alias("_newest"))
     found = entries.join(
         newest.select("url", "_newest.fetched_at", "_newest._tie"), ["url", "fetched_at", "_tie"]
@@ -51,6 +58,27 @@ def latest_pages(cache: DataFrame, now: Column, days: int = fixed.CACHE_DAYS) ->
     return found.dropDuplicates(["url", "_tie"]).select("url", *rest, "fetched_at")
 
 
+def upsert_pages(spark: SparkSession, path: str, delivery: DataFrame, buckets: int = 64) -> None:
+    """Bring ``delivery`` (url, ..., fetched_at) into the stored cache: the newest of each address.
+
+    The cache is kept in buckets of addresses. Only the buckets that the delivery touches are
+    read, merged and written, and each replaces itself, so a delivery may be run again.
+    """
+    new = stage(delivery.withColumn("bucket", F.pmod(F.xxhash64("url"), F.lit(buckets)).cast("int")), "delivery")
+    touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]
+    stored = read_pages(spark, path, new.schema).filter(F.col("bucket").isin(touched))
+    merged = newest_pages(stored.unionByName(new))
+    replace_partitions(stage(merged, "merged").repartition("bucket"), path, ["bucket"])
+
+
+def read_pages(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The stored cache with its ``bucket``; empty before the first delivery."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
 def cached(urls: DataFrame, cache: DataFrame) -> DataFrame:
     """The addresses that the cache holds."""
     return urls.join(cache.select("url"), "url", "left_semi")
@@ -82,33 +110,30 @@ def _with_class(tag: str, name: str) -> str:
     return rf'<{tag}\b[^>]*\bclass="(?:[^"]*\s)?{name}(?:\s[^"]*)?"[^>]*>'
 
 
-# Character references resolved in text, the ampersand last.
-_REFERENCES = [
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&apos;", "'"),
-    ("&nbsp;", " "),
-    ("&amp;", "&"),
-]
+# Named character references resolved in text.
+_NAMED = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "amp": "&"}
+_PIECES = r"(?s)&#[0-9]+;|&#[xX][0-9a-fA-F]+;|&[a-z]+;|[^&]+|&"
+_LAST_CODE_POINT = 0x10FFFF
 
 
-def _number_resolved(piece: Column) -> Column:
-    digits = F.regexp_extract(piece, r"^&#(\d+);$", 1)
-    code = F.lpad(F.hex(digits.try_cast("long")), 8, "0")
-    return F.when(digits != "", F.decode(F.unhex(code), "UTF-32")).otherwise(piece)
+def _resolved(piece: Column) -> Column:
+    """The character of one reference; plain text and references to none stay as they are."""
+    digits = F.regexp_extract(piece, r"^&#([0-9]+);$", 1)
+    hexed = F.regexp_extract(piece, r"^&#[xX]0*([0-9a-fA-F]{1,6});$", 1)
+    code = F.coalesce(digits.try_cast("int"), F.conv(hexed, 16, 10).try_cast("int"))
+    # halves of surrogate pairs are no characters
+    good = code.between(1, 0xD7FF) | code.between(0xE000, _LAST_CODE_POINT)
+    character = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    named = F.create_map(*[F.lit(x) for pair in _NAMED.items() for x in (f"&{pair[0]};", pair[1])])
+    return F.when(good, character).otherwise(F.coalesce(F.try_element_at(named, piece), piece))
 
 
 def text_content(html: Column) -> Column:
-    """Text without tags, character references resolved."""
+    """Text without tags. Each character reference is resolved once, so what it stands for is not
+    read again."""
     bare = F.regexp_replace(html, r"<[^>]*>", "")
-    pieces = F.regexp_extract_all(bare, F.lit(r"(?s)&#\d+;|[^&]+|&"), F.lit(0))
-    text = F.when(
-        bare.contains("&#"), F.array_join(F.transform(pieces, _number_resolved), "")
-    ).otherwise(bare)
-    for reference, character in _REFERENCES:
-        text = F.replace(text, F.lit(reference), F.lit(character))
-    return text
+    pieces = F.regexp_extract_all(bare, F.lit(_PIECES), F.lit(0))
+    return F.when(bare.contains("&"), F.array_join(F.transform(pieces, _resolved), "")).otherwise(bare)
 
 
 def html_comments(pages: DataFrame, html: str) -> DataFrame:

@@ -12,6 +12,9 @@ from reviewlens import schemas
 from reviewlens.functions.text import newlines_marked
 from reviewlens.operators.comments import flatten_results, purge
 
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ON_DISK = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 RESULTS = f"{schemas.RAW_COMMENTS}, fetched_at timestamp"
 
 
@@ -32,28 +35,26 @@ def clean_comments(results: DataFrame) -> DataFrame:
 def start_ingest(results: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Append the clean comments of all files present, each task result once, then stop.
 
-    A result counts as seen when its id is in the ledger beside ``out``, however old it is;
-    no row is late. Every batch writes folders of its own and leaves them out when it looks
-    for ids, so a batch that is run again replaces what it wrote.
+    The ids seen are keyed state, kept on disk beside ``checkpoint`` and never given up, so no
+    row is late however old it is, and a batch looks up its own ids and reads nothing of what
+    came before. Every batch writes a folder of its own; one that is run again replaces it.
     """
     spark = results.sparkSession
-    ledger = f"{out}-ids"
-    spark.createDataFrame([], "_id string").write.mode("overwrite").parquet(f"{ledger}/batch=start")
     run = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
 
     def write(batch: DataFrame, number: int) -> None:
-        name = f"{run}-{number}"
-        seen = spark.read.schema("_id string, batch string").parquet(ledger)
-        earlier = seen.filter(F.col("batch") != name).select("_id")
-        fresh = batch.dropDuplicates(["_id"]).join(earlier, "_id", "left_anti")
-        fresh.select("_id").write.mode("overwrite").parquet(f"{ledger}/batch={name}")
-        kept = spark.read.schema("_id string").parquet(f"{ledger}/batch={name}")
-        new = batch.dropDuplicates(["_id"]).join(kept, "_id", "left_semi")
-        clean_comments(new).write.mode("overwrite").parquet(f"{out}/batch={name}")
+        clean_comments(batch).write.mode("overwrite").parquet(f"{out}/batch={run}-{number}")
 
-    return (
-        results.writeStream.foreachBatch(write)
+    writer = (
+        results.dropDuplicates(["_id"])
+        .writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .start()
     )
+    # the query copies the session's settings as it starts
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, _ON_DISK)
+    try:
+        return writer.start()
+    finally:
+        spark.conf.unset(_STORE) if before is None else spark.conf.set(_STORE, before)
