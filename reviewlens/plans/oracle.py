@@ -124,8 +124,24 @@ FROM (SELECT pid, cid, sid, pno, relate,
              CASE WHEN relate = 'SBV' THEN head_pos ELSE dep_pos END AS spos
       FROM pairs)
 """)
+_part("sizes", "SELECT cid, sid, count(*) AS n FROM words GROUP BY ALL", True)
+_part("numbered", r"""
+SELECT f.pid, f.cid, f.sid, relate,
+       row_number() OVER (PARTITION BY f.cid, f.sid ORDER BY wid, step, mid, side) - 1 AS pno,
+       CASE WHEN relate = 'SBV' THEN dep ELSE head END AS fid, CASE WHEN relate = 'SBV' THEN head ELSE dep END AS sid_
+FROM found f JOIN sizes z ON z.cid = f.cid AND z.sid = f.sid WHERE head >= 0 AND head < n
+""")
+_part("short", "SELECT cid, sid, id, cont, pos FROM words WHERE length(cont) BETWEEN 1 AND 4", True)
+_part("short_sides", r"""
+SELECT n.pid, n.cid, n.sid, CAST(pno AS INTEGER) AS pno, relate, f.cont AS f, fid, f.pos AS fpos, s.cont AS s, sid_,
+       s.pos AS spos, regexp_matches(f.cont, '^(the|ch|au|das)') AS seed
+FROM numbered n
+JOIN short f ON f.cid = n.cid AND f.sid = n.sid AND f.id = fid
+JOIN short s ON s.cid = n.cid AND s.sid = n.sid AND s.id = sid_
+WHERE length(f.cont) >= 2 AND length(s.cont) <= 3
+""", True)
 _part("edges", r"""
-SELECT pid, f, fpos, s, spos, seed, count(*) AS n FROM sides WHERE fok AND sok GROUP BY ALL
+SELECT pid, f, fpos, s, spos, seed, count(*) AS n FROM short_sides GROUP BY ALL
 """, True)
 _part("reach", r"""
 SELECT DISTINCT pid, 's' AS side, s AS word, 0 AS t FROM edges WHERE seed AND spos = 'a'
@@ -160,7 +176,10 @@ SELECT p.*, CASE WHEN NOT (fok AND sok) THEN 1 ELSE l.label END AS label
 FROM sides p LEFT JOIN labelled l
   ON p.fok AND p.sok AND l.pid = p.pid AND l.f = p.f AND l.fpos = p.fpos AND l.s = p.s AND l.spos = p.spos
 """)
-_part("accepted", "SELECT * FROM marked WHERE label = -1", True)
+_part("accepted", r"""
+SELECT p.*, l.label FROM short_sides p JOIN labelled l
+  ON l.pid = p.pid AND l.f = p.f AND l.fpos = p.fpos AND l.s = p.s AND l.spos = p.spos AND l.label = -1
+""", True)
 _part("learned", r"""
 SELECT pid, f AS name, sum(CASE WHEN by_side = 'f' OR label = -1 THEN n END) AS freq
 FROM labelled WHERE NOT seed GROUP BY pid, f
@@ -192,7 +211,7 @@ SELECT a.cid, max(a.sid) AS last FROM accepted a JOIN openings w ON w.cid = a.ci
 _part("tuples", r"""
 SELECT n.* FROM with_negs n LEFT JOIN resets r ON r.cid = n.cid WHERE n.sid >= coalesce(r.last, n.sid)
 """)
-_part("vocabulary", "SELECT DISTINCT s AS word FROM sides WHERE fok AND sok")
+_part("vocabulary", "SELECT DISTINCT s AS word FROM short_sides")
 _part("lexicon", r"""
 SELECT word, CASE WHEN contains(word, 'a') THEN -1 ELSE 1 END AS polarity
 FROM vocabulary WHERE contains(word, 'a') OR contains(word, 'e')
