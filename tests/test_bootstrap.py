@@ -60,6 +60,7 @@ def by_sql(made, seeds, threshold):
     )
     db = duckdb.connect()
     db.register("sides", sides)
+    db.register("short_sides", sides[sides.fok & sides.sok])
     parts = [_PARTS[p] for p in ("edges", "reach", "by_edge", "labelled", "marked")]
     head = "WITH RECURSIVE " + ", ".join(parts)
     # a seed feature with a sentiment of invalid length is rejected, and so is an invalid feature

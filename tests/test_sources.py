@@ -85,12 +85,8 @@ def test_callback_page(spark):
 
 
 def test_gbk(spark):
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    try:
-        df = spark.createDataFrame([(bytearray("屏幕很好".encode("gbk")),)], "b binary")
-        assert df.select(review_pages.decoded(F.col("b"))).first()[0] == "屏幕很好"
-    finally:
-        spark.conf.unset("spark.sql.legacy.javaCharsets")
+    df = spark.createDataFrame([(bytearray("屏幕很好".encode("gbk")),)], "b binary")
+    assert review_pages.decoded(df, "b").first()[0] == "屏幕很好"
 
 
 XML = (
