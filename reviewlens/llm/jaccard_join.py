@@ -26,10 +26,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlens.llm.components import components
+from reviewlens.llm.native import blank_words, lower_ascii
 from reviewlens.llm.shingles import SIZE, shingle_set
 from reviewlens.session import stage
 
@@ -482,8 +483,16 @@ def links(sets: DataFrame, families: DataFrame, settings: Settings = Settings())
     )
 
 
+def text_class(text: Column) -> Column:
+    """The class of a text's copies, as ``digest`` has it; null without words."""
+    words = blank_words(lower_ascii(text))
+    return F.when(F.size(words) > 0, F.unhex(F.md5(F.array_join(words, " "))))
+
+
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row of ``docs`` (doc_id, text)."""
+    """``doc_id, n_shingles, component_id, class, component_class`` for every row of ``docs``
+    (doc_id, text). The last two are the classes of the text and of the component's first one:
+    they tell components apart whose first texts have one id."""
     seen = stage(shared_counts(docs, settings), "shared-counts")
     worded = seen.filter("class is not null")
     classes = worded.groupBy("class").agg(
@@ -504,13 +513,15 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     named = found.join(sets.select("node", "class"), "node").join(
         classes.select("class", "first_id"), "class"
     )
-    names = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    first = F.struct(F.col("first_id").isNull(), "first_id", F.col("class").alias("component_class"))
+    names = named.groupBy("component").agg(F.min(first).alias("first"))
     of_class = stage(
         classes.join(named.select("class", "component"), "class", "left")
         .join(names, "component", "left")
         .select(
             F.col("class").alias("_class"),
-            F.coalesce("component_id", "first_id").alias("component_id"),
+            F.when(F.col("first").isNull(), F.col("first_id")).otherwise(F.col("first.first_id")).alias("component_id"),
+            F.coalesce("first.component_class", "class").alias("component_class"),
         ),
         "class-components",
     )
@@ -518,4 +529,6 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
         "doc_id",
         "n_shingles",
         F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        "class",
+        "component_class",
     )

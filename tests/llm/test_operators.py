@@ -624,3 +624,30 @@ def test_pipeline(spark, folder, empty):
 
 def base_at_most_once(texts):
     return sum(t in (cases.BASE, cases.EDITED) for t in texts) <= 1
+
+
+def test_near_duplicate_stage_keeps_unlinked_rows_of_one_id(spark):
+    import corpus_pipeline
+
+    a, b, c = cases.prose(70, 80), cases.prose(71, 80), cases.prose(72, 80)
+    near = a.replace(a.split()[40], "other", 1)
+    rows = [(1, a), (1, b), (2, a), (2, c), (3, near), (1, a), (None, c), (None, cases.prose(73, 9)), (None, cases.prose(73, 9))]
+    rows += [(4, None), (4, ""), (None, " "), (4, re.sub("[a-z]", lambda m: m.group().upper(), b))]
+    docs = spark.createDataFrame([(*r, "c", "i") for r in rows], "doc_id bigint, text string, class string, id string")
+    path = new_folder(spark, "one-id")
+    docs.repartition(3).write.parquet(path)
+    kept = corpus_pipeline.near_duplicates(spark, spark.read.parquet(path), "")
+    assert kept.columns == docs.columns
+    wanted = [(1, a), (1, b), (2, c), (None, cases.prose(73, 9)), (4, None), (4, ""), (None, " ")]
+    assert multiset((r.doc_id, r.text) for r in kept.collect()) == multiset(wanted)
+
+
+def test_classes_of_texts(spark):
+    from pyspark.sql import functions as F
+
+    from reviewlens.llm import jaccard_join
+
+    texts = spark.createDataFrame([(t,) for t in cases.texts()], "text string")
+    for r in texts.select("text", jaccard_join.text_class(F.col("text")).alias("own")).collect():
+        wanted = jaccard_join.digest(None if r.text is None else r.text.encode())
+        assert (None if r.own is None else bytes(r.own)) == wanted
