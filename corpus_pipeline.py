@@ -25,22 +25,25 @@ def _packed_rows(docs: DataFrame) -> Column:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rule nor the learned decision list rejects."""
-    stats = stage(
-        quality_rules.statistics(docs, F.col("text"), [F.col("doc_id")]), "quality-statistics"
-    )
-    rules = quality_rules.learn_from(stats, table(spark, sf_dir, "labels"))
-    judged = quality_rules.statistics(docs, F.col("text"), [_packed_rows(docs)])
-    return quality_rules.apply_rules(judged, rules).filter("kept").select("_row.*")
+    stats = stage(quality_rules.statistics(docs, F.col("text"), [_packed_rows(docs)]), "quality-statistics")
+    named = stats.select(F.col("_row.doc_id").alias("doc_id"), "stats")
+    rules = quality_rules.learn_from(named, table(spark, sf_dir, "labels"))
+    return quality_rules.apply_rules(stats, rules).filter("kept").select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest id. Rows without
-    an id can't be told apart by it and stay."""
-    found = jaccard_join.near_duplicates(docs.select("doc_id", "text"))
-    firsts = found.select(F.col("component_id").alias("first")).filter("first is not null").distinct()
-    rows = docs.select(F.col("doc_id").alias("id"), _packed_rows(docs))
-    kept = rows.join(firsts, F.col("id") == F.col("first"), "left_semi").dropDuplicates(["id"])
-    return kept.unionByName(rows.filter("id is null")).select("_row.*")
+    """One row of each group of near duplicates: of the texts with the smallest id, which rows
+    without an id come after. Rows of one id with texts that are no duplicates all stay, and so
+    do rows without words."""
+    found = jaccard_join.near_duplicates(docs.select("doc_id", "text")).filter("class is not null")
+    own = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("class") == F.col("component_class"))
+    firsts = found.filter(own).select(F.col("doc_id").alias("first"), F.col("class").alias("first_class")).distinct()
+    rows = docs.select(
+        F.col("doc_id").alias("id"), jaccard_join.text_class(F.col("text")).alias("class"), _packed_rows(docs)
+    )
+    same = F.col("id").eqNullSafe(F.col("first")) & (F.col("class") == F.col("first_class"))
+    kept = rows.join(firsts, same, "left_semi").dropDuplicates(["id", "class"])
+    return kept.unionByName(rows.filter("class is null")).select("_row.*")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
