@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlens.llm.components import components
-from reviewlens.llm.native import blank_words, lower_ascii
+from reviewlens.llm.native import BLANKS, lower_ascii
 from reviewlens.llm.shingles import SIZE, shingle_set
 from reviewlens.session import stage
 
@@ -485,8 +485,8 @@ def links(sets: DataFrame, families: DataFrame, settings: Settings = Settings())
 
 def text_class(text: Column) -> Column:
     """The class of a text's copies, as ``digest`` has it; null without words."""
-    words = blank_words(lower_ascii(text))
-    return F.when(F.size(words) > 0, F.unhex(F.md5(F.array_join(words, " "))))
+    words = F.trim(F.regexp_replace(lower_ascii(text), BLANKS, " "))
+    return F.when(words != "", F.unhex(F.md5(words)))
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
