@@ -58,6 +58,8 @@ class Settings:
     #: Strings that are tried as landmarks and windows that are learned from, the commonest first.
     tried_strings: int = 50_000
     near_windows: int = 8000
+    #: Clean documents that are looked at first, to leave out strings which are common there.
+    first_clean: int = 1000
     near: float = 0.7
     #: How much oftener toxic documents hold a landmark: of up to three characters, and longer.
     short_rate: float = 60
@@ -351,8 +353,15 @@ def choose_landmarks(toxic: DataFrame, clean: DataFrame, n_toxic: int, n_clean:
         .collect()
     )
     of_toxic = {bytes(r["piece"]): r["n"] for r in often}
-    only = set(of_toxic)
-    of_clean = {bytes(r["piece"]): r["n"] for r in _counted_pieces(clean, only).collect()}
+    # strings that some clean documents already show to be common are not counted in the others
+    mark = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(17)), F.lit(1 << 20))
+    share = min(1.0, settings.first_clean / max(n_clean, 1))
+    some = clean.filter(mark < int(share * (1 << 20)))
+    first = {bytes(r["piece"]): r["n"] for r in _counted_pieces(some, set(of_toxic)).collect()}
+    common = {p for p, n in first.items() if n > 8 and n / (share * n_clean) > of_toxic[p] / n_toxic}
+    only = of_toxic.keys() - common
+    of_toxic = {p: n for p, n in of_toxic.items() if p in only}
+    of_clean = {bytes(r["piece"]): r["n"] for r in _counted_pieces(clean, set(only)).collect()}
     rates = {
         p: (n / n_toxic) / ((of_clean.get(p, 0) + 0.5) / max(n_clean, 1)) for p, n in of_toxic.items()
     }
