@@ -35,15 +35,26 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One row of each group of near duplicates: of the texts with the smallest id, which rows
     without an id come after. Rows of one id with texts that are no duplicates all stay, and so
     do rows without words."""
-    found = jaccard_join.near_duplicates(docs.select("doc_id", "text")).filter("class is not null")
+    found = stage(
+        jaccard_join.near_duplicates(docs.select("doc_id", "text"))
+        .filter("class is not null")
+        .select("doc_id", "class", "component_id", "component_class"),
+        "classes",
+    )
     own = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("class") == F.col("component_class"))
     firsts = found.filter(own).select(F.col("doc_id").alias("first"), F.col("class").alias("first_class")).distinct()
-    rows = docs.select(
-        F.col("doc_id").alias("id"), jaccard_join.text_class(F.col("text")).alias("class"), _packed_rows(docs)
-    )
+    # only rows that share an id need their text to tell them apart
+    shared = stage(found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null"), "shared-ids")
+    shared = shared.select(F.col("doc_id").alias("shared"))
+    alone = firsts.join(shared, F.col("first").eqNullSafe(F.col("shared")), "left_anti")
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("_text"), _packed_rows(docs))
+    worded = F.coalesce(F.col("_text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = rows.filter(worded).join(alone, F.col("id") == F.col("first"), "left_semi").select("_row")
+    among = rows.filter(worded).join(shared, F.col("id").eqNullSafe(F.col("shared")), "left_semi")
+    among = among.withColumn("class", jaccard_join.text_class(F.col("_text")))
     same = F.col("id").eqNullSafe(F.col("first")) & (F.col("class") == F.col("first_class"))
-    kept = rows.join(firsts, same, "left_semi").dropDuplicates(["id", "class"])
-    return kept.unionByName(rows.filter("class is null")).select("_row.*")
+    among = among.join(firsts, same, "left_semi").dropDuplicates(["id", "class"]).select("_row")
+    return kept.unionByName(among).unionByName(rows.filter(~worded).select("_row")).select("_row.*")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
