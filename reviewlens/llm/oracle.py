@@ -101,7 +101,70 @@ ranked AS (
 SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50
 """
 
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+DECONTAMINATE = rf"""
+WITH docs AS MATERIALIZED (
+    SELECT row_number() OVER () AS row, doc_id, coalesce(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+    FROM documents
+),
+items AS (
+    SELECT item_id, w, least(len(w), 13) AS size FROM (
+        SELECT item_id, coalesce(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM benchmark)
+    WHERE len(w) > 0
+),
+windows AS MATERIALIZED (
+    SELECT DISTINCT item_id, size, array_to_string(w[i : i + size - 1], ' ') AS phrase
+    FROM (SELECT item_id, size, w, unnest(range(1, len(w) - size + 2)) AS i FROM items)
+),
+found AS MATERIALIZED (
+    SELECT row, i, d.size, item_id
+    FROM (SELECT row, size, w, unnest(range(1, len(w) - size + 2)) AS i
+          FROM docs, (SELECT DISTINCT size FROM windows) WHERE len(w) >= size) d
+    JOIN windows p ON p.size = d.size AND p.phrase = array_to_string(w[i : i + d.size - 1], ' ')
+),
+hits AS (
+    SELECT row, count(DISTINCT place) AS n_hit FROM (SELECT row, unnest(range(i, i + size)) AS place FROM found) GROUP BY row
+),
+matched AS (
+    SELECT row, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names
+    FROM (SELECT DISTINCT row, CAST(item_id AS VARCHAR) AS name FROM found) GROUP BY row
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN hits USING (row) LEFT JOIN matched USING (row)
+"""
+
+JACCARD_JOIN = rf"""
+WITH RECURSIVE docs AS MATERIALIZED (
+    SELECT row_number() OVER () AS row, doc_id, coalesce(regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+),
+shingles AS MATERIALIZED (
+    SELECT DISTINCT row, array_to_string(w[i : i + 4], ' ') AS shingle
+    FROM (SELECT row, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM docs WHERE len(w) > 0)
+),
+sizes AS MATERIALIZED (SELECT row, count(*) AS n FROM shingles GROUP BY row),
+shared AS (
+    SELECT a.row AS a, b.row AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.row <> b.row
+    GROUP BY ALL
+),
+links AS MATERIALIZED (
+    SELECT a, b FROM shared s JOIN sizes x ON x.row = a JOIN sizes y ON y.row = b
+    WHERE 100 * s.n >= 80 * (x.n + y.n - s.n)
+),
+reach AS (
+    SELECT row AS a, row AS b FROM docs
+    UNION
+    SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+)
+SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(o.doc_id) AS component_id
+FROM docs d JOIN reach r ON r.a = d.row JOIN docs o ON o.row = r.b LEFT JOIN sizes z ON z.row = d.row
+GROUP BY d.row, d.doc_id
+"""
+
 ORACLE: dict[str, str] = {
+    "op6_decontaminate": DECONTAMINATE,
+    "op8_jaccard_join": JACCARD_JOIN,
     "op11_exact_search": EXACT_SEARCH,
     "op12_hard_negatives": HARD_NEGATIVES,
     "op13_source_audit": SOURCE_AUDIT,
