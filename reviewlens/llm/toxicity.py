@@ -246,7 +246,7 @@ class Reader:
         return out
 
     def learn(self, texts: list[list[bytes]]) -> None:
-        new = set().union(*texts) - self.known.keys()
+        new = {w for w in set().union(*texts) if w not in self.known}
         if len(self.known) + len(new) > self.model.settings.cache_words:
             self.forget()
             new = set().union(*texts)
@@ -329,7 +329,8 @@ def _counted_pieces(docs: DataFrame, only: set[bytes] | None) -> DataFrame:
                 words = set((text.as_py() or b"").lower().split())
                 if len(known) > 200_000:
                     known.clear()
-                for word in words - known.keys():
+                # not words - known.keys(), which would go through all known words
+                for word in [w for w in words if w not in known]:
                     found = _pieces(plain(word))
                     known[word] = tuple(found if only is None else found & only)
                 counts.update(set(chain.from_iterable(map(known.__getitem__, words))))
@@ -408,7 +409,7 @@ def near_windows(docs: DataFrame, landmarks: list[str], settings: Settings) -> D
             for low, high in grouped(batch.column(0)):
                 texts = batch.column(0).slice(low, high - low).cast(pa.binary())
                 found = [set((t.as_py() or b"").lower().split()) for t in texts]
-                new = list(set().union(*found) - near.keys())
+                new = [w for w in set().union(*found) if w not in near]
                 cut = [windows_of(plain(w)) for w in new]
                 flat = list({u for us in cut for u in us})
                 if flat:
