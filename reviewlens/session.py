@@ -42,10 +42,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     Later jobs then depend on files and not on executors, and the planner sees the real
     size of the table when it chooses a join.
     """
+    return staged(df, name)[0]
+
+
+def staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``stage`` for a table that its maker drops again: the table and its folder."""
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:
