@@ -67,8 +67,13 @@ def window_shingles(found: DataFrame) -> DataFrame:
 
 
 def document_shingles(docs: DataFrame, k: int) -> DataFrame:
-    """``docs`` (words and other columns) with a row per shingle of ``k`` words."""
-    return docs.select("*", F.posexplode_outer(_grams(k)).alias("at", "h"))
+    """``docs`` (words and other columns) with a row per shingle of ``k`` words.
+
+    The hashes are a column of their own before they become rows: rows are then made in
+    generated code, which hands on a reference to the words and copies them for no shingle.
+    """
+    hashed = docs.withColumn("grams", _grams(k))
+    return hashed.select(*docs.columns, F.posexplode_outer("grams").alias("at", "h"))
 
 
 def _grams(k: int) -> Column:
