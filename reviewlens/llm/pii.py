@@ -1,8 +1,8 @@
 """Operator 1: personal data by patterns and by contexts learned from them.
 
-Seeds are e-mail and IP addresses, card and phone numbers found by their forms. The words
-before a seed make a lexical pattern. Patterns and the identifier-like strings that follow
-them form a graph which is scored in rounds: a pattern is worth the share of its strings
+Seeds are e-mail and IP addresses, card and phone numbers found by their forms. The two words
+before a seed, of any length, make a lexical pattern; an earlier match of the same kind is one
+word there. Patterns and the identifier-like strings that follow them form a graph which is scored in rounds: a pattern is worth the share of its strings
 that are known, a string is known when a good pattern precedes it, and patterns that stay
 good mark further strings as personal data of the seed's kind (``ctx_<kind>``).
 
@@ -43,6 +43,8 @@ _IP_VALID = rf"^{_PART}\.{_PART}\.{_PART}\.{_PART}$"
 _IDENTIFIER = (
     r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9][A-Za-z_-]*+[0-9])[A-Za-z0-9][A-Za-z0-9_-]{7,}+"
 )
+#: What an earlier match of the same kind counts as in a pattern.
+_EARLIER = " [found] "
 
 
 @dataclass(frozen=True)
@@ -53,8 +55,14 @@ class Settings:
 
 
 def _matches(text: Column, regex: str, kind: str, use: Column) -> Column:
-    """Array of ``kind, no, gap, found, before`` for the matches of ``regex``."""
-    none = F.array().cast("array<struct<kind:string,no:int,gap:int,found:string,before:string>>")
+    """Array of ``kind, no, gap, found, pattern`` for the matches of ``regex``."""
+    none = F.array().cast("array<struct<kind:string,no:int,gap:int,found:string,pattern:string>>")
+
+    def before(gaps: Column, i: Column) -> Column:
+        """The text before match ``i``; earlier matches are one word, so two of them suffice."""
+        far = F.when(i > 1, F.lit(_EARLIER)).otherwise("")
+        near = F.concat(far, F.get(gaps, i - 1), F.lit(_EARLIER))
+        return F.concat(F.when(i > 0, near).otherwise(""), F.get(gaps, i))
 
     def listed(gaps: Column, found: Column) -> Column:
         return F.transform(
@@ -64,7 +72,7 @@ def _matches(text: Column, regex: str, kind: str, use: Column) -> Column:
                 i.alias("no"),
                 F.length(F.get(gaps, i)).alias("gap"),
                 m.alias("found"),
-                F.right(F.get(gaps, i), F.lit(48)).alias("before"),
+                _pattern(before(gaps, i)).alias("pattern"),
             ),
         )
 
@@ -107,9 +115,8 @@ def _valid(kind: Column, found: Column) -> Column:
 
 def _pattern(before: Column) -> Column:
     """The last two words before a match, without case and digits."""
-    words = F.regexp_extract(before, r"(?:[^\s]++\s++)?[^\s]*+\s*+$", 0)
-    plain = F.regexp_replace(F.lower(words), r"[0-9]+", "0")
-    return F.trim(F.regexp_replace(plain, r"\s+", " "))
+    words = F.substring_index(F.rtrim(F.regexp_replace(before, r"\s+", " ")), " ", -2)
+    return F.trim(F.regexp_replace(F.lower(words), r"[0-9]+", "0"))
 
 
 def text_key(text: Column) -> Column:
@@ -160,7 +167,7 @@ def matches(docs: DataFrame, text: str = "text") -> DataFrame:
             "start",
             "end",
             "found",
-            _pattern(F.col("before")).alias("pattern"),
+            "pattern",
             _valid(F.col("kind"), F.col("found")).alias("valid"),
         )
     )
