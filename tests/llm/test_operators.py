@@ -5,6 +5,7 @@ import math
 import os
 import re
 import sys
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -117,6 +118,50 @@ def test_contexts_reach_along_a_chain(spark):
     assert {r.pattern for r in patterns} == {f"{name} at" for name in ["alpha", *names]}
 
 
+def test_contexts_of_personal_data_are_whole_words(spark):
+    from reviewlens.llm import pii
+
+    long = [c * 60 for c in "XY"]
+    docs = spark.createDataFrame(
+        [
+            (1, f"so {long[0]} {long[1]}  a@b.example"),
+            (2, "send to x1@y.example z@w.example"),
+            (3, "x@y.example,z@w.example,q@r.example"),
+            (4, "v@w.example"),
+        ],
+        "doc_id bigint, text string",
+    )
+    found = pii.matches(docs).filter("kind = 'email'").orderBy("doc_id", "start").collect()
+    assert [(r.doc_id, r.pattern) for r in found] == [
+        (1, " ".join(long).lower()),
+        (2, "send to"),
+        (2, "to [found]"),
+        (3, ""),
+        (3, "[found] ,"),
+        (3, "[found] ,"),
+        (4, ""),
+    ]
+    assert found[2].found == "z@w.example" and (found[2].start, found[2].end) == (21, 32)
+
+
+def test_decontamination_of_a_book_is_linear(spark):
+    from reviewlens.llm import decontaminate
+
+    item = " ".join(f"item{i}" for i in range(40))
+    benchmark = spark.createDataFrame([("a", item)], "item_id string, text string")
+
+    def seconds(n: int) -> float:
+        words = " ".join(f"w{i * 7919 % 50021}" for i in range(n - 40))
+        docs = spark.createDataFrame([(1, f"{words} {item}")], "doc_id bigint, text string")
+        begin = time.monotonic()
+        row = decontaminate.contamination(docs, benchmark).first()
+        assert (row.n_words, row.n_hit, row["items"]) == (n, 40, ["a"])
+        return time.monotonic() - begin
+
+    seconds(1_000)
+    assert seconds(320_000) < 8 * seconds(40_000) + 10
+
+
 def test_decontamination(spark, folder):
     windows = defaultdict(set)
     for item, text in [(r[0], r[1]) for r in cases.benchmark(spark).collect()]:
