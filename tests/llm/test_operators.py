@@ -488,11 +488,9 @@ def test_contexts_below_the_top_of_the_suffix_tree(spark):
             n, kinds = sum(of.values()), len(of)
             gain = sum(k * math.log(k / n / above[x]) for x, k in of.items())
             stays = bool(context) and extended and n >= 16 and gain > 0.5 * kinds * math.log(n)
-            top = len(context) < 2 or len(context) == 2 and n >= max(0.02 * total, 16)
-            top = top and context[1:] != (256,)
             if stays:
                 above = np.array([(of[x] + kinds * above[x]) / (n + kinds) for x in range(257)])
-            rows[context] = above, stays or top
+            rows[context] = above, stays or not context
         return rows[context]
 
     deepest = 0
