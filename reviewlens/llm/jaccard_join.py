@@ -11,7 +11,8 @@
    the others (DivideSkip): the short lists are merged, the long ones are probed by bisection
    for what the merge left, and overlaps of at least T are links. Links form components.
 
-Copies are never paired. A tile reports a spanning forest of its links.
+Copies are never paired. A tile reports a spanning forest of its links, and for each class how
+many documents its links lead to.
 
 Defined cases: null, empty and blank texts have no shingles, link with nothing and are their
 own component; a row without an id takes part, but a component is named by the smallest id
@@ -207,31 +208,37 @@ def shared_counts(docs: DataFrame, settings: Settings = Settings()) -> DataFrame
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``class, n, tokens`` (sorted 64-bit hashes) for ``wanted`` (doc_id, class)."""
+    """``class, n, tokens`` (sorted 64-bit hashes), ``copies`` for ``wanted`` (doc_id, class, copies)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
                 part = batch.slice(low, 500)
-                keys, sizes, sets = [], [], []
-                for text, key in zip(part.column(0).cast(pa.binary()), part.column(1)):
+                keys, sizes, sets, copies = [], [], [], []
+                for text, key, n in zip(part.column(0).cast(pa.binary()), part.column(1), part.column(2).to_pylist()):
                     text = text.as_py()
                     if digest(text) == key.as_py():
                         found = shingle_set(text, settings.shingle)
                         keys.append(key.as_py())
                         sizes.append(len(found))
                         sets.append(found.astype("<u8").tobytes())
+                        copies.append(n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sets, pa.binary())],
-                    names=["class", "n", "tokens"],
+                    [
+                        pa.array(keys, pa.binary()),
+                        pa.array(sizes, pa.int32()),
+                        pa.array(sets, pa.binary()),
+                        pa.array(copies, pa.int64()),
+                    ],
+                    names=["class", "n", "tokens", "copies"],
                 )
 
-    asked = wanted.select(F.col("doc_id").alias("_wanted"), "class")
+    asked = wanted.select(F.col("doc_id").alias("_wanted"), "class", "copies")
     return (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         .join(asked, F.col("doc_id").eqNullSafe(F.col("_wanted")))
-        .select("text", "class")
-        .mapInArrow(read, "class binary, n int, tokens binary")
+        .select("text", "class", "copies")
+        .mapInArrow(read, "class binary, n int, tokens binary, copies long")
         .dropDuplicates(["class"])
     )
 
@@ -403,9 +410,12 @@ class Forest:
         return x != y
 
 
-def tile_links(rows: list[tuple[int, int, np.ndarray]], across: bool, percent: int) -> list[tuple[int, int]]:
-    """Links that span what is connected among ``rows`` (side, node, set). Across tiles only
-    sets of different sides are compared."""
+def tile_links(
+    rows: list[tuple[int, int, np.ndarray, int]], across: bool, percent: int
+) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Links that span what is connected among ``rows`` (side, node, set, copies), and for each
+    node the copies that all its links lead to. Across tiles only sets of different sides are
+    compared."""
     if across:
         queries = [r for r in rows if r[0] == 0]
         listed = [r for r in rows if r[0] == 1]
@@ -414,23 +424,34 @@ def tile_links(rows: list[tuple[int, int, np.ndarray]], across: bool, percent: i
     index = InvertedLists([r[2] for r in listed])
     forest = Forest(len(queries) + len(listed) if across else len(rows))
     shift = len(queries) if across else 0
-    out = []
-    for q, (_, node, tokens) in enumerate(queries):
-        for other in index.overlapping(tokens, percent).tolist():
+    copies = np.array([r[3] for r in listed], np.int64)
+    led = np.zeros(len(listed), np.int64)
+    spanning, counts = [], []
+    for q, (_, node, tokens, own) in enumerate(queries):
+        found = index.overlapping(tokens, percent)
+        if across:
+            led[found] += own
+        else:
+            found = found[found != q]
+        if len(found):
+            counts.append((node, int(copies[found].sum())))
+        for other in found.tolist():
             if (across or other > q) and forest.join(q, other + shift):
-                out.append((node, listed[other][1]))
-    return out
+                spanning.append((node, listed[other][1]))
+    counts += [(listed[k][1], int(led[k])) for k in np.flatnonzero(led)]
+    return spanning, counts
 
 
 def links(sets: DataFrame, families: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Links (a, b) between nodes of ``sets`` (node, tokens) within ``families`` (node, component)."""
+    """Links (a, b) between nodes of ``sets`` (node, tokens, copies) within ``families`` (node,
+    component), and rows (a, n) of the copies that links of a lead to."""
     sizes = families.groupBy("component").agg(F.count("*").alias("size"))
     tiles = F.ceil(F.col("size") / settings.tile).cast("long")
     placed = (
         families.join(sizes, "component")
         .withColumn("tiles", tiles)
         .withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
-        .join(sets.select("node", "tokens"), "node")
+        .join(sets.select("node", "tokens", "copies"), "node")
     )
     n_small = max(1, (families.count() // settings.tile) * 2)
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
@@ -442,6 +463,7 @@ def links(sets: DataFrame, families: DataFrame, settings: Settings = Settings())
         F.lit(0).alias("side"),
         "node",
         "tokens",
+        "copies",
     )
     large = (
         placed.filter("tiles > 1")
@@ -454,6 +476,7 @@ def links(sets: DataFrame, families: DataFrame, settings: Settings = Settings())
             F.when(F.col("tile") <= F.col("other"), 0).otherwise(1).alias("side"),
             "node",
             "tokens",
+            "copies",
         )
     )
     percent = settings.percent
@@ -463,23 +486,27 @@ def links(sets: DataFrame, families: DataFrame, settings: Settings = Settings())
         across = table.column("y")[0].as_py() != table.column("z")[0].as_py()
         component = table.column("component").to_numpy()
         cuts = np.flatnonzero(np.diff(component)) + 1
-        out: list[tuple[int, int]] = []
+        out: list[tuple] = []
         for low, high in zip(np.append(0, cuts), np.append(cuts, len(component))):
             part = table.slice(low, high - low)
             rows = [
-                (side, node, np.frombuffer(tokens.as_py(), "<u8"))
-                for side, node, tokens in zip(
-                    part.column("side").to_pylist(), part.column("node").to_pylist(), part.column("tokens")
+                (side, node, np.frombuffer(tokens.as_py(), "<u8"), copies)
+                for side, node, tokens, copies in zip(
+                    part.column("side").to_pylist(),
+                    part.column("node").to_pylist(),
+                    part.column("tokens"),
+                    part.column("copies").to_pylist(),
                 )
             ]
-            out += tile_links(rows, across, percent)
-        a, b = zip(*out) if out else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            spanning, counts = tile_links(rows, across, percent)
+            out += [(a, b, None) for a, b in spanning] + [(a, None, n) for a, n in counts]
+        columns = zip(*out) if out else ((), (), ())
+        return pa.table({name: pa.array(c, pa.int64()) for name, c in zip("abn", columns)})
 
     return (
         small.unionByName(large)
         .groupBy("x", "y", "z")
-        .applyInArrow(search, "a long, b long")
+        .applyInArrow(search, "a long, b long, n long")
     )
 
 
@@ -490,16 +517,17 @@ def text_class(text: Column) -> Column:
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``doc_id, n_shingles, component_id, class, component_class`` for every row of ``docs``
-    (doc_id, text). The last two are the classes of the text and of the component's first one:
+    """``doc_id, n_shingles, n_links, component_id, class, component_class`` for every row of
+    ``docs`` (doc_id, text); ``n_links`` counts the rows it links with. The last two are the classes of the text and of the component's first one:
     they tell components apart whose first texts have one id."""
     seen = stage(shared_counts(docs, settings), "shared-counts")
     worded = seen.filter("class is not null")
     classes = worded.groupBy("class").agg(
         F.min("doc_id").alias("first_id"),
+        F.count("*").alias("copies"),
         F.max(100 * F.col("shared") >= settings.percent * F.col("n_shingles")).alias("candidate"),
     )
-    wanted = classes.filter("candidate").select(F.col("first_id").alias("doc_id"), "class")
+    wanted = classes.filter("candidate").select(F.col("first_id").alias("doc_id"), "class", "copies")
     sets = stage(
         class_sets(docs, wanted, settings).withColumn("node", F.monotonically_increasing_id()),
         "class-sets",
@@ -509,25 +537,31 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     families = components(
         prefixes.join(leaders, "token").select(F.col("node").alias("a"), F.col("leader").alias("b"))
     )
-    found = components(links(sets, families, settings))
-    named = found.join(sets.select("node", "class"), "node").join(
-        classes.select("class", "first_id"), "class"
+    linked = stage(links(sets, families, settings), "class-links")
+    found = components(linked.filter("b is not null").select("a", "b"))
+    led = linked.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("led"))
+    named = (
+        found.join(led, "node", "left")
+        .join(sets.select("node", "class"), "node")
+        .join(classes.select("class", "first_id"), "class")
     )
     first = F.struct(F.col("first_id").isNull(), "first_id", F.col("class").alias("component_class"))
     names = named.groupBy("component").agg(F.min(first).alias("first"))
     of_class = stage(
-        classes.join(named.select("class", "component"), "class", "left")
+        classes.join(named.select("class", "component", "led"), "class", "left")
         .join(names, "component", "left")
         .select(
             F.col("class").alias("_class"),
             F.when(F.col("first").isNull(), F.col("first_id")).otherwise(F.col("first.first_id")).alias("component_id"),
             F.coalesce("first.component_class", "class").alias("component_class"),
+            (F.col("copies") - 1 + F.coalesce("led", F.lit(0))).alias("n_links"),
         ),
         "class-components",
     )
     return seen.join(of_class, F.col("class") == F.col("_class"), "left").select(
         "doc_id",
         "n_shingles",
+        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
         F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         "class",
         "component_class",

@@ -157,8 +157,9 @@ reach AS (
     UNION
     SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
 )
-SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(o.doc_id) AS component_id
+SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, coalesce(any_value(k), 0) AS n_links, min(o.doc_id) AS component_id
 FROM docs d JOIN reach r ON r.a = d.row JOIN docs o ON o.row = r.b LEFT JOIN sizes z ON z.row = d.row
+LEFT JOIN (SELECT a, count(*) AS k FROM links GROUP BY a) l ON l.a = d.row
 GROUP BY d.row, d.doc_id
 """
 

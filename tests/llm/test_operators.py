@@ -201,6 +201,10 @@ def test_near_duplicates(spark, folder):
         sets.append(frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if w else frozenset())
     ids = [i for i, _ in pairs()]
     label = list(range(len(sets)))
+    links = [
+        sum(100 * len(x & y) >= 80 * len(x | y) for b, y in enumerate(sets) if a != b) if x else 0
+        for a, x in enumerate(sets)
+    ]
     for _ in sets:  # labels spread until nothing changes
         for a in range(len(sets)):
             for b in range(len(sets)):
@@ -211,10 +215,10 @@ def test_near_duplicates(spark, folder):
     for k, i in enumerate(ids):
         groups[label[k]].append(i)
     expected = [
-        (i, len(sets[k]), min((x for x in groups[label[k]] if x is not None), default=None) if sets[k] else i)
+        (i, len(sets[k]), links[k], min((x for x in groups[label[k]] if x is not None), default=None) if sets[k] else i)
         for k, i in enumerate(ids)
     ]
-    found = llm.op8_jaccard_join(spark, folder).select("doc_id", "n_shingles", "component_id").collect()
+    found = llm.op8_jaccard_join(spark, folder).select("doc_id", "n_shingles", "n_links", "component_id").collect()
     assert multiset(found) == multiset(expected)
 
 
@@ -235,6 +239,9 @@ def test_families_larger_than_a_tile(spark):
     small = near_duplicates(docs, Settings(tile=7, block_bytes=2000, bucket_shingles=500))
     whole = near_duplicates(docs, Settings())
     assert multiset(small.collect()) == multiset(whole.collect())
+    sets = [{t[i : i + 5] for i in range(56)} for t in (tuple(text.split()) for text in texts)]
+    counts = [sum(100 * len(x & y) >= 80 * len(x | y) for y in sets) - 1 for x in sets]
+    assert {r.doc_id: r.n_links for r in small.collect()} == dict(enumerate(counts))
 
 
 def test_divide_skip_agrees_with_set_operations():
