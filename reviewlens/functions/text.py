@@ -12,6 +12,8 @@ from reviewlens import fixed_values as fixed
 
 CJK = "\\u4e00-\\u9fff"
 _WORD = f"[\\p{{L}}\\p{{N}}&&[^{CJK}]]+"
+#: A CJK run or a word of another script.
+PIECE = f"[{CJK}]+|{_WORD}"
 
 Tokenizer = Callable[[Column], Column]
 
@@ -77,7 +79,7 @@ def _tokens(content: Column, single: bool) -> Column:
             pairs = F.when(n > 1, F.concat(singles, pairs)).otherwise(singles)
         return F.when(run.rlike(f"^[{CJK}]"), pairs).otherwise(F.array(run))
 
-    runs = F.regexp_extract_all(content, F.lit(f"[{CJK}]+|{_WORD}"), F.lit(0))
+    runs = F.regexp_extract_all(content, F.lit(PIECE), F.lit(0))
     return F.flatten(F.transform(runs, cut))
 
 

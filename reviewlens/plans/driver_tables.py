@@ -25,6 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unspaced(text: Column) -> Column:
+    """Latin letters written as CJK characters, without the blanks between words."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    written = "".join(chr(0x4E00 + i) for i in range(26))
+    return F.translate(F.replace(text, F.lit(" "), F.lit("")), letters + letters.upper(), written * 2)
+
+
 def product_of(source: Column) -> Column:
     return F.substr(source, F.lit(4)).cast("long")
 

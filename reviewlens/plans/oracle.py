@@ -328,6 +328,68 @@ _PAIR = 'SELECT pId, cId, sId, pairNo, first_id, "first", second_id, "second", r
 _OPINION = "pid AS pId, cid AS cId, sid AS sId, pno AS pairNo, f AS feature, s AS sentiment, relate"
 _RESULT = "SELECT conv_id, page, pos, {content} AS content, score FROM results"
 
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_WRITTEN = "".join(chr(0x4E00 + i) for i in range(26)) * 2
+_part(
+    "text_runs",
+    rf"""SELECT run, count(*) AS n FROM (
+        SELECT unnest(regexp_extract_all(translate(replace(text, ' ', ''), '{_LETTERS + _LETTERS.upper()}', '{_WRITTEN}'),
+               '[\x{{4e00}}-\x{{9fff}}]+')) AS run FROM documents) GROUP BY run""",
+    True,
+)
+_part(
+    "run_ends",
+    """SELECT run, n, last, size FROM (SELECT *, unnest(range(1, length(run) + 1)) AS last FROM text_runs),
+       (SELECT unnest([1, 2, 3, 4]) AS size)""",
+    True,
+)
+_part(
+    "run_counts",
+    """SELECT substr(run, last - size + 1, size) AS word, sum(n)::BIGINT AS n FROM run_ends WHERE size <= last
+       GROUP BY 1 HAVING any_value(size) = 1 OR sum(n) >= 20""",
+    True,
+)
+_part(
+    "run_list",
+    """SELECT word, n, round(1000000 * (ln(n) - ln((SELECT sum(n) FROM run_counts WHERE length(word) = 1))))::BIGINT AS weight
+       FROM run_counts""",
+    True,
+)
+_part(
+    "lattice",
+    """SELECT run, n, list(weight ORDER BY last, size) AS e,
+              string_agg(word, '/' ORDER BY last - size, size) FILTER (weight IS NOT NULL) AS full_words
+       FROM (SELECT run, n, last, size, CASE WHEN size <= last THEN substr(run, last - size + 1, size) END AS word FROM run_ends)
+       LEFT JOIN (SELECT word, weight FROM run_list) w USING (word) GROUP BY run, n""",
+    True,
+)
+_part(
+    "path_steps",
+    """SELECT run, e, 0 AS done, 0::BIGINT AS s1, NULL::BIGINT AS s2, NULL::BIGINT AS s3, NULL::BIGINT AS s4,
+              '' AS p1, '' AS p2, '' AS p3, '' AS p4 FROM lattice
+       UNION ALL
+       SELECT run, e, done + 1, best, s1, s2, s3,
+              CASE best WHEN c4 THEN p4 || '/' || substr(run, done - 2, 4) WHEN c3 THEN p3 || '/' || substr(run, done - 1, 3)
+                WHEN c2 THEN p2 || '/' || substr(run, done, 2) ELSE p1 || '/' || substr(run, done + 1, 1) END, p1, p2, p3
+       FROM (SELECT *, greatest(c1, c2, c3, c4) AS best FROM (
+               SELECT *, s1 + e[4 * done + 1] AS c1, s2 + e[4 * done + 2] AS c2, s3 + e[4 * done + 3] AS c3,
+                      s4 + e[4 * done + 4] AS c4 FROM path_steps WHERE done < length(run)))""",
+)
+_part("best_paths", "SELECT run, substr(p1, 2) AS precise FROM path_steps WHERE done = length(run)", True)
+_part(
+    "path_words",
+    """SELECT run, unnest(string_split(precise, '/')) AS part, generate_subscripts(string_split(precise, '/'), 1) AS k
+       FROM best_paths""",
+)
+_part(
+    "path_inside",
+    """SELECT run, string_agg(word, '/' ORDER BY k, b, size) AS search FROM (
+         SELECT run, k, b, size, substr(part, b, size) AS word
+         FROM (SELECT *, unnest(range(1, length(part) + 1)) AS b FROM path_words), (SELECT unnest([1, 2, 3, 4]) AS size)
+         WHERE b + size - 1 <= length(part))
+       JOIN run_list USING (word) GROUP BY run""",
+)
+
 _FINAL = {
     "flatten_results": _RESULT.format(content="content"),
     "assign_ids": """
@@ -341,6 +403,10 @@ _FINAL = {
             SELECT conv_id % 3 AS part, count(*) AS n FROM results GROUP BY ALL))
         JOIN (SELECT unnest([0, 1, 1, 2]) AS run) ON run = part""",
     "normalise_newlines": "SELECT doc_id, replace(text, chr(10), '。') AS content FROM documents",
+    "run_words": "SELECT word, n, weight FROM run_list",
+    "segmented_runs": """
+        SELECT run, n, precise, full_words AS "full", search
+        FROM lattice JOIN best_paths USING (run) JOIN path_inside USING (run)""",
     "repeat_ratio": r"""
         SELECT doc_id, 1 - len(list_distinct(parts)) / len(parts) AS ratio FROM (
           SELECT doc_id, string_split(coalesce(array_to_string(regexp_extract_all(text, '[\p{L}\p{N}]+'), '/'), ''), '/') AS parts

@@ -12,7 +12,7 @@ from reviewlens import schemas
 from reviewlens.functions import text
 from reviewlens.operators import bootstrap, classify, comments, evaluate, lexicon, negation
 from reviewlens.operators import pairs as word_pairs
-from reviewlens.operators import scoring, tags
+from reviewlens.operators import scoring, segment, tags
 from reviewlens.plans import driver_tables as tables
 from reviewlens.plans import product_opinions as opinions
 from reviewlens.session import new_folder, stage
@@ -68,6 +68,25 @@ def normalise_newlines(spark: SparkSession, sf: str) -> DataFrame:
     return documents.select("doc_id", text.newlines_marked(F.col("text")).alias("content"))
 
 
+def _run_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    documents = tables.spread(tables.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    runs = segment.unspaced_runs(documents, tables.unspaced(F.col("text")))
+    return stage(segment.spans(tables.spread(runs, "run")), "run-pieces")
+
+
+def run_words(spark: SparkSession, sf: str) -> DataFrame:
+    """The word list counted from unspaced runs."""
+    return segment.counted_words(_run_pieces(spark, sf)).select("word", "n", "weight")
+
+
+def segmented_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Unspaced runs cut by the three modes, with the word list counted from them."""
+    pieces = _run_pieces(spark, sf)
+    words = stage(segment.counted_words(pieces), "run-words")
+    cut = segment.segmented(pieces, words)
+    return cut.select("run", "n", *[F.array_join(mode, "/").alias(mode) for mode in ("precise", "full", "search")])
+
+
 def repeat_ratio(spark: SparkSession, sf: str) -> DataFrame:
     documents = tables.table(spark, sf, "documents").select("doc_id", "text")
     ratio = text.repeat_ratio(text.tokens_precise(F.col("text")))
@@ -754,6 +773,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "counter_ids": counter_ids,
     "normalise_newlines": normalise_newlines,
     "repeat_ratio": repeat_ratio,
+    "run_words": run_words,
+    "segmented_runs": segmented_runs,
     "purge_comments": purge_comments,
     "element_check": element_check,
     "jsonp_comments": jsonp_comments,
