@@ -615,4 +615,6 @@ _PURGED_CLAUSES = """clauses AS MATERIALIZED (
 SELECT pId AS pid, row_number() OVER (ORDER BY pId, cId, sId) - 1 AS cid, 0 AS sid, lower(content) AS content FROM purged)"""
 
 ORACLE: dict[str, str] = {name: _complete(query) for name, query in _FINAL.items()}
+#: Too slow beyond the smallest tables: tests only.
+SMALL_TABLES: dict[str, str] = {"segmented_runs": ORACLE.pop("segmented_runs")}
 ORACLE["reviews_to_summary"] = _complete(_FINAL["product_summary"], {"clauses": _PURGED_CLAUSES})

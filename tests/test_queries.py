@@ -5,8 +5,9 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from check import TABLES, shown
+from reviewlens.plans.oracle import SMALL_TABLES
 
-ORACLE = oracle_sql()
+ORACLE = {**oracle_sql(), **SMALL_TABLES}
 
 
 @pytest.fixture(scope="module")
