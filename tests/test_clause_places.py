@@ -62,3 +62,18 @@ def test_null_words_and_clauses(spark):
 def test_places_take_no_lambda_for_each_word(spark):
     plan = word_pairs.dependency_pairs(clauses(spark, "0:a/n/SBV/1 1:b/a/HED/-1"))._jdf.queryExecution().executedPlan().toString()
     assert "lambda" not in plan
+
+
+def test_heads_of_the_derived_words(spark):
+    from pyspark.sql import functions as F
+
+    from reviewlens.plans import driver_tables as tables
+
+    parsed = tables._parsed(F.lit(" ".join(["w"] * 60)))
+    words = spark.range(1).select(F.inline(parsed)).collect()
+    steps = {4: -2, 10: -4, 16: -8, 22: -16}
+    for w in words:
+        kind = w.id % 6
+        expected = -1 if kind == 2 else w.id + (steps[w.id % 24] if kind == 4 else {0: 2, 1: 1, 3: -1, 5: -3}[kind])
+        assert (w.parent, w.relate) == (expected, tables.RELATIONS[kind])
+    assert "CASE" not in spark.range(1).select(parsed)._jdf.queryExecution().analyzed().toString()
