@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from reviewlens.llm import decontaminate, jaccard_join, packing, pii, quality_rules
 from reviewlens.llm.native import table
+from reviewlens.llm.row_places import with_ids
 from reviewlens.session import stage
 
 #: Learned rules, tokenizer ids and packing are beyond SQL; tests compare with brute force.
@@ -49,7 +50,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     alone = firsts.join(shared, F.col("first").eqNullSafe(F.col("shared")), "left_anti")
     rows = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("_text"), _packed_rows(docs))
     worded = F.coalesce(F.col("_text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    kept = rows.filter(worded).join(alone, F.col("id") == F.col("first"), "left_semi").select("_row")
+    own_rows = with_ids(docs, alone.select("first"))
+    kept = own_rows.select(F.col("text").alias("_text"), _packed_rows(docs)).filter(worded).select("_row")
     among = rows.filter(worded).join(shared, F.col("id").eqNullSafe(F.col("shared")), "left_semi")
     among = among.withColumn("class", jaccard_join.text_class(F.col("_text")))
     same = F.col("id").eqNullSafe(F.col("first")) & (F.col("class") == F.col("first_class"))
@@ -63,13 +65,15 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     bad = found.filter("contaminated").select(
         F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_key")
     )
+    # written, so that the planner knows its size before it would shuffle the texts
+    bad = stage(bad.distinct(), "contaminated")
     rows = docs.select(
         F.col("doc_id").alias("id"),
         decontaminate.text_key(F.col("text")).alias("key"),
         _packed_rows(docs),
     )
     same = F.col("id").eqNullSafe(F.col("bad_id")) & (F.col("key") == F.col("bad_key"))
-    return rows.join(bad.distinct(), same, "left_anti").select("_row.*")
+    return rows.join(bad, same, "left_anti").select("_row.*")
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

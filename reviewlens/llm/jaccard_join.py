@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from reviewlens.llm.components import components
 from reviewlens.llm.native import BLANKS, lower_ascii
+from reviewlens.llm.row_places import with_ids
 from reviewlens.llm.shingles import SIZE, shingle_set
 from reviewlens.session import stage
 
@@ -234,8 +235,10 @@ def class_sets(docs: DataFrame, wanted: DataFrame, settings: Settings = Settings
                 )
 
     asked = wanted.select(F.col("doc_id").alias("_wanted"), "class", "copies")
+    # few texts are wanted; the others stay where they are read
+    found = with_ids(docs.select("doc_id", "text"), wanted.select("doc_id"))
     return (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        found.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         .join(asked, F.col("doc_id").eqNullSafe(F.col("_wanted")))
         .select("text", "class", "copies")
         .mapInArrow(read, "class binary, n int, tokens binary, copies long")
@@ -528,6 +531,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
         F.max(100 * F.col("shared") >= settings.percent * F.col("n_shingles")).alias("candidate"),
     )
     wanted = classes.filter("candidate").select(F.col("first_id").alias("doc_id"), "class", "copies")
+    wanted = stage(wanted, "wanted-classes")
     sets = stage(
         class_sets(docs, wanted, settings).withColumn("node", F.monotonically_increasing_id()),
         "class-sets",

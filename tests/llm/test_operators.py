@@ -701,3 +701,22 @@ def test_classes_of_texts(spark):
     for r in texts.select("text", jaccard_join.text_class(F.col("text")).alias("own")).collect():
         wanted = jaccard_join.digest(None if r.text is None else r.text.encode())
         assert (None if r.own is None else bytes(r.own)) == wanted
+
+
+def test_rows_of_ids_are_filtered_where_they_are_read(spark):
+    from reviewlens.llm.row_places import with_ids
+
+    rows = [(None if i % 97 == 5 else i // 2, f"t{i}", i % 3) for i in range(70_000)]
+    path = new_folder(spark, "places")
+    spark.createDataFrame(rows, "doc_id bigint, text string, _row int").repartition(2).write.parquet(path)
+    docs = spark.read.parquet(path).select("doc_id", "text", "_row")
+    ids = [0, 1, 8191, 16_384, 34_999, 99_999, None] + list(range(500, 900, 7))
+    chosen = spark.createDataFrame([(i,) for i in ids], "id bigint")
+    found = with_ids(docs, chosen)
+    assert found.columns == docs.columns
+    wanted = multiset(r for r in rows if r[0] in set(ids))
+    assert multiset(found.collect()) == wanted
+    # the rows themselves cross no shuffle
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    made = spark.createDataFrame(rows[:500], docs.schema)
+    assert multiset(with_ids(made, chosen).collect()) == multiset(r for r in rows[:500] if r[0] in set(ids))
