@@ -162,24 +162,34 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
 
 
+def _reach(n: int, decay: float) -> np.ndarray:
+    """Weights by which each place sums up what ends at earlier places."""
+    gap = np.arange(n)[:, None] - np.arange(n)[None, :]
+    return np.where(gap > 0, float(decay) ** gap, 0).astype(np.float32)
+
+
+#: Strings worked out at once, so that what is held of them stays in the processor's cache.
+_COLUMNS = 256
+
+
 def _kernel_column(s: np.ndarray, t: np.ndarray, order: int, decay: float) -> np.ndarray:
     """``s`` holds a string per column."""
-    same = (s[:, None, :] == t[None, :, None]).astype(np.float32)
-    unit = np.float32(decay * decay)
-    decay = np.float32(decay)
-    # ends[i, j]: weight of the subsequences whose last characters match at i and j
-    ends = same * unit
-    for _ in range(order - 1):
-        # sums over all earlier pairs of places, weighted by the gaps up to here
-        for j in range(1, ends.shape[1]):
-            ends[:, j] += decay * ends[:, j - 1]
-        for i in range(1, ends.shape[0]):
-            ends[i] += decay * ends[i - 1]
-        reach = np.zeros_like(ends)
-        reach[1:, 1:] = ends[:-1, :-1]
-        ends = same * reach
-        ends *= unit
-    return ends.sum(axis=(0, 1))
+    n, m = len(s), len(t)
+    # the last matched character adds its decay in each string, the gaps before it the rest
+    along_s, along_t = _reach(n, decay), _reach(m, decay)
+    out = np.empty(s.shape[1], np.float32)
+    for low in range(0, s.shape[1], _COLUMNS):
+        same = (s[:, None, low : low + _COLUMNS] == t[None, :, None]).astype(np.float32)
+        width = same.shape[2]
+        # ends[i, j]: weight of the subsequences whose last characters match at i and j
+        ends = same * np.float32(decay * decay)
+        for _ in range(order - 1):
+            # sums over all earlier pairs of places, weighted by the gaps up to here
+            reach = np.matmul(along_t, ends)
+            reach = np.matmul(along_s, reach.reshape(n, m * width)).reshape(n, m, width)
+            ends = np.multiply(same, reach, out=reach)
+        out[low : low + width] = ends.sum(axis=(0, 1))
+    return out
 
 
 @dataclass
@@ -222,8 +232,13 @@ class Reader:
         for bit, (head, tail) in enumerate(cuts):
             self.heads.setdefault(head, []).append(bit)
             self.tails.setdefault(tail, []).append(bit)
-        self.head_ends, self.tail_starts = {h[-2:] for h in self.heads}, {t[:2] for t in self.tails}
-        self.longest = max(map(len, inner), default=0)
+        #: Lengths of the heads by their last two characters, and of the tails by their first two.
+        self.head_ends: dict[str, set[int]] = {}
+        self.tail_starts: dict[str, set[int]] = {}
+        for head in self.heads:
+            self.head_ends.setdefault(head[-2:], set()).add(len(head))
+        for tail in self.tails:
+            self.tail_starts.setdefault(tail[:2], set()).add(len(tail))
         self.width = len(cuts) // 64 + 1
         self.forget()
 
@@ -239,8 +254,8 @@ class Reader:
         out = np.zeros((len(words), self.width), np.uint64)
         of, ends = (self.heads, self.head_ends) if last else (self.tails, self.tail_starts)
         for row, word in enumerate(words):
-            if (word[-2:] if last else word[:2]) in ends:
-                for n in range(2, min(len(word), self.longest) + 1):
+            for n in ends.get(word[-2:] if last else word[:2], ()):
+                if n <= len(word):
                     for bit in of.get(word[-n:] if last else word[:n], ()):
                         out[row, bit // 64] |= np.uint64(1 << bit % 64)
         return out
@@ -254,11 +269,16 @@ class Reader:
             return
         words = [plain(w) for w in new]
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-        ends = [w if not raw.endswith(_SENTENCE_ENDS) else "" for raw, w in zip(new, words)]
-        self.margin = np.append(self.margin, self.model.margins(words))
-        self.single = np.append(self.single, [len(w) == 1 for w in words])
-        self.ending = np.concatenate([self.ending, self._bits(ends, True)])
-        self.beginning = np.concatenate([self.beginning, self._bits(words, False)])
+        # many words differ in their signs alone
+        place = {w: k for k, w in enumerate(dict.fromkeys(words))}
+        distinct = list(place)
+        of = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+        open_end = np.array([not raw.endswith(_SENTENCE_ENDS) for raw in new])
+        self.margin = np.append(self.margin, self.model.margins(distinct)[of])
+        self.single = np.append(self.single, np.array([len(w) == 1 for w in distinct])[of])
+        ending = self._bits(distinct, True)[of] * open_end[:, None].astype(np.uint64)
+        self.ending = np.concatenate([self.ending, ending])
+        self.beginning = np.concatenate([self.beginning, self._bits(distinct, False)[of]])
 
     def worst(self, texts: list[list[bytes]]) -> list[float]:
         """The highest margin in each text, given as its words."""

@@ -720,3 +720,19 @@ def test_rows_of_ids_are_filtered_where_they_are_read(spark):
     assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
     made = spark.createDataFrame(rows[:500], docs.schema)
     assert multiset(with_ids(made, chosen).collect()) == multiset(r for r in rows[:500] if r[0] in set(ids))
+
+
+def test_words_that_differ_in_their_signs_are_scored_once():
+    from reviewlens.llm import toxicity
+
+    model = toxicity.Model([" idiot ", " kuf "], np.ones(2, np.float32), -0.5)
+    asked, margins = [], model.margins
+    model.margins = lambda words: asked.extend(words) or margins(words)
+    reader = toxicity.Reader(model)
+    found = reader.worst([[b"(idiot)"], [b"idiot,"], [b"idiot"], [b"word."], [b"an", b"id", b"iot."], [b"id.", b"iot"]])
+    assert found[0] == found[1] == found[2] > found[4] > found[5]
+    assert len(asked) == len(set(asked))
+    # more strings than are worked out at once
+    words = [f"id{'x' * (k % 3)}iot{k % 7}" for k in range(700)]
+    at = toxicity.kernel(words, ["idiot"], 4, 0.7)
+    assert np.allclose(at, [toxicity.kernel([w], ["idiot"], 4, 0.7)[0] for w in words], rtol=1e-5)
